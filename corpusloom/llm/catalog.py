@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, token_store
+from . import audio, decontaminate, language, suffix_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,20 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_telephony"] = op1_telephony
 QUERIES["op2_token_store"] = op2_token_store
 QUERIES["op3_language"] = op3_language
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scanned for the benchmark's 10-word windows."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
+ORACLES["op9_decontaminate"] = decontaminate.ORACLE
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 50-byte strings that an earlier document holds."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
