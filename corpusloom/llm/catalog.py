@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, language, suffix_dedup, token_store
+from . import audio, decontaminate, language, near_dedup, suffix_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_suffix_dedup"] = op5_suffix_dedup
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's class of near-duplicates at 0.8 over five-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_near_dedup"] = op6_near_dedup
