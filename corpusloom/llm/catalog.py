@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, language, near_dedup, suffix_dedup, token_store
+from . import audio, decontaminate, html_render, language, near_dedup, suffix_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_near_dedup"] = op6_near_dedup
+
+
+def op4_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible text, laid out."""
+    return html_render.render_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op4_html_render"] = op4_html_render
