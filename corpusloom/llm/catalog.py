@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html_render, language, near_dedup, suffix_dedup, token_store
+from . import audio, decontaminate, html_render, language, near_dedup, secret_scan, suffix_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op4_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_html_render"] = op4_html_render
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every text with the forest's verdict."""
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_secret_scan"] = op7_secret_scan
