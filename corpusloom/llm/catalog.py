@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html_render, language, near_dedup, secret_scan, suffix_dedup, token_store
+from . import audio, decontaminate, html_render, language, near_dedup, secret_scan, suffix_dedup, token_store, tool_calls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_secret_scan"] = op7_secret_scan
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's calls and results, linked, ordered, checked and serialised."""
+    return tool_calls.link_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op8_tool_calls"] = op8_tool_calls
