@@ -29,41 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .token_store import mix64
+from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Leaders of a bucket in each round after the first.
 LEADERS = 8
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0x5851F42D4C957F2D
 _WORD = np.ones(256, bool)
 _WORD[: ord("0")] = _WORD[ord("9") + 1 : ord("a")] = _WORD[ord("z") + 1 : 0x80] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse, both modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, 64-bit hash) of the words of some bytes."""
     data = _LOWER[data]
-    word = _WORD[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    up, down = _power_tables(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        return start, mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
+    start, end = runs(_WORD[data])
+    return start, span_hashes(data, start, end)
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:

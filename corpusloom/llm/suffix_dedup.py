@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for
-from .token_store import mix64
+from .hashing import mix64
 
 MATCH = 50
 K = 20

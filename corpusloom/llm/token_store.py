@@ -27,28 +27,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, partitions_for, shared_path
+from .hashing import GOLDEN, mix64, runs, span_hashes
 
 #: Expected, least and most ids of a chunk.
 MEAN_IDS, MIN_IDS, MAX_IDS = 256, 64, 1024
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+MEMORY_WORDS = 2_000_000
+#: Chunks a task remembers having given, likewise.
+SEEN_CHUNKS = 200_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SOLID = np.ones(256, bool)
+_SOLID[[ord(" "), ord("\n")]] = False
 CHUNK_BYTES = 64 << 20
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 class WordEncoder:
     """A tokenizer file of the tokenizers library, with a bounded memory of words.
 
-    The tokenizer drops white space and merges inside words only, so a text's ids are its words' ids in
-    order: texts are cut at blanks and line feeds, and the library encodes each new word. A letter run with
-    one closing full stop or comma is its run and its mark; ASCII letters count in lower case.
+    The tokenizer drops white space, counts letters in lower case and merges inside words only, so a text's
+    ids are those of its words in order. Texts are cut at blanks and line feeds, and a full stop or comma
+    that closes a letter is a word of its own. Each new word is encoded by the library; its ids are kept
+    under a 64-bit hash, and the words of a whole batch are looked up together. Texts with the first
+    character of an added token, and all texts of a tokenizer without word ends, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -57,66 +58,125 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = None
+        if suffix:
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closes[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.leads = {x.content[0] for x in self.tokenizer.get_added_tokens_decoder().values()}
+        if any(c.isalpha() or c.isspace() for c in self.leads):
+            self.closes = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = np.zeros(1 << 17, np.uint64)
+        self.entry = np.zeros(1 << 17, np.int32)
+        self.offset = np.zeros(1, np.int64)  # entry k holds pool[offset[k] : offset[k + 1]]
+        self.pool = np.zeros(0, self.kind)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The packed ids of words. Words of letters alone are one pre-token each: they are encoded as one
-        text, and the library's word numbers part its ids; the others are encoded one by one."""
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, by the library alone."""
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words. Words of letters alone are one pre-token each: they are encoded as one text, and
+        the vocabulary's word ends part its ids; the others are encoded one by one."""
         plain = [w for w in words if w.isalpha()]
-        out: dict[str, bytes] = {}
+        out: dict[str, np.ndarray] = {}
         if plain:
-            got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            numbers, data = np.array(got.word_ids), self.pack(got.ids)
-            ends = [*(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            ids = self.library([" ".join(plain)])[0]
+            ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(plain):
-                last = 0
-                for w, at in zip(plain, ends):
-                    out[w] = data[last * self.width : at * self.width]
-                    last = at
+                out = dict(zip(plain, np.split(ids, ends[:-1])))
         rest = [w for w in words if w not in out]
-        out.update(zip(rest, (self.pack(x.ids) for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        out.update(zip(rest, self.library(rest)))
         return [out[w] for w in words]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of whole texts."""
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        young, old = self.young, self.old
-        new: set[str] = set()
-        stems: list[tuple[str, str, str]] = []
-        for words in cut:
-            for w in set(words).difference(young):
-                if w in old:
-                    young[w] = old[w]
-                    continue
-                last, stem, mark = w[-1], w, ""
-                if (last == "." or last == ",") and w[-2:-1].isalpha():
-                    stem, mark = w[:-1], last
-                if stem.isascii():
-                    stem = stem.lower()
-                if mark or stem != w:
-                    stems.append((w, stem, mark))
-                    new.add(mark)
-                new.add(stem)
-        new.difference_update(young)
-        fresh = list(new)
-        young.update(zip(fresh, self.encode_words(fresh)))
-        for w, stem, mark in stems:
-            young[w] = young[stem] + young[mark] if mark else young[stem]
-        out = [b"".join(map(young.__getitem__, words)) for words in cut]
-        for w in fresh:
-            if len(w) > CACHE_CHARS:
-                del young[w]
-        for w, *_ in stems:
-            if len(w) > CACHE_CHARS:
-                young.pop(w, None)
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {"": b""}
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        mask = np.uint64(len(self.slots) - 1)
+        at = (hashes & mask).astype(np.int64)
+        held = self.slots[at]
+        out = np.where(held == hashes, self.entry[at], -1)
+        todo = np.flatnonzero((held != hashes) & (held != 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & int(mask)
+            held = self.slots[at[todo]]
+            same = held == hashes[todo]
+            out[todo[same]] = self.entry[at[todo[same]]]
+            todo = todo[~same & (held != 0)]
         return out
 
+    def _enter(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Enter distinct new hashes."""
+        mask = len(self.slots) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.slots[at[todo]] == 0]
+            self.slots[at[free]] = hashes[free]
+            placed = free[self.slots[at[free]] == hashes[free]]
+            self.entry[at[placed]] = entries[placed]
+            left = np.ones(len(hashes), bool)
+            left[placed] = False
+            todo = todo[left[todo]]
+            at[todo] = at[todo] + 1 & mask
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        known = len(self.offset) - 1
+        if 2 * (known + len(words)) > len(self.slots):
+            old = self.slots != 0
+            kept, entries = self.slots[old], self.entry[old]
+            size = 1 << (4 * (known + len(words))).bit_length()
+            self.slots, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._enter(kept, entries)
+        ids = self.encode_words(words)
+        self._enter(hashes, np.arange(known, known + len(words), dtype=np.int32))
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(x) for x in ids])])
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        whole = self.closes is None or any(c in x for x in texts for c in self.leads)
+        own = [k for k, x in enumerate(texts) if self.closes is None or any(c in x for c in self.leads)] if whole else []
+        apart = dict(zip(own, self.library([texts[k] for k in own])))
+        raw = [b"" if k in apart else x.encode("utf-8", "surrogatepass") for k, x in enumerate(texts)]
+        data = _LOWER[np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)]
+        start, end = runs(_SOLID[data])
+        # A closing mark behind an ASCII letter, or behind a letter of the block that C3 leads, stands alone.
+        last, ahead, lead = data[end - 1], data[np.maximum(end - 2, 0)], data[np.maximum(end - 3, 0)]
+        letter = (ahead >= 97) & (ahead <= 122) | (lead == 0xC3) & (ahead >= 0x80) & (ahead != 0x97) & (ahead != 0xB7)
+        marked = ((last == 46) | (last == 44)) & (end - start > 1) & letter
+        extra = np.cumsum(marked) - marked
+        place = np.arange(len(start)) + extra
+        first = np.empty(len(start) + int(marked.sum()), np.int64)
+        close = np.empty(len(first), np.int64)
+        first[place], close[place] = start, end - marked
+        first[place[marked] + 1], close[place[marked] + 1] = end[marked] - 1, end[marked]
+        hashes = span_hashes(data, first, close) | np.uint64(1)
+        found = self._find(hashes)
+        if (found < 0).any():
+            missing = np.flatnonzero(found < 0)
+            fresh, at = np.unique(hashes[missing], return_index=True)
+            if len(self.offset) + len(fresh) > MEMORY_WORDS:
+                self._forget()
+                fresh, at = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            plain = data.tobytes()
+            self._learn(fresh, [plain[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[missing[at]].tolist(), close[missing[at]].tolist())])
+            found = self._find(hashes)
+        low = self.offset[found]
+        size = self.offset[found + 1] - low
+        total = np.cumsum(size)
+        ids = self.pool[np.repeat(low - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+        bounds = np.cumsum([1, *(len(x) + 1 for x in raw)])
+        words = np.searchsorted(first, bounds)
+        total = np.append(0, total)
+        return [apart[k] if k in apart else ids[total[a] : total[b]] for k, (a, b) in enumerate(zip(words, words[1:]))]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
@@ -126,7 +186,7 @@ def encoder(path: str) -> WordEncoder:
 def gear(size: int) -> np.ndarray:
     """A 64-bit random number for each id, by rule."""
     with np.errstate(over="ignore"):
-        return mix64((np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        return mix64((np.arange(size, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
 
 
 def cuts(ids: np.ndarray, table: np.ndarray) -> list[int]:
@@ -202,13 +262,13 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = encoder(tokenizer_path)
-        table, end, seen, row = gear(own.tokenizer.get_vocab_size()), own.pack([end_id]), set(), 0
+        table, end, seen, row = gear(own.tokenizer.get_vocab_size()), np.array([end_id], own.kind), set(), 0
         for batch in batches:
             rows = []
             encoded = own.encode_all([x if isinstance(x, str) else "" for x in batch["text"]])
-            for doc_id, data in zip(batch["doc_id"], (x + end for x in encoded)):
-                ids = np.frombuffer(data, own.kind)
-                digests, last = [], 0
+            for doc_id, ids in zip(batch["doc_id"], encoded):
+                ids = np.concatenate([ids, end])
+                data, digests, last = ids.tobytes(), [], 0
                 for at in cuts(ids, table):
                     piece = data[last * own.width : at * own.width]
                     digest = hashlib.sha256(piece).digest()
@@ -219,7 +279,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                     last = at
                 rows.append(("recipe", doc_id, row, len(ids), b"".join(digests), None))
                 row += 1
-                if len(seen) > CACHE_WORDS:
+                if len(seen) > SEEN_CHUNKS:
                     seen.clear()
             yield pd.DataFrame(rows, columns=["kind", "doc_id", "row", "n", "digests", "data"]).astype({"doc_id": "Int64", "row": "Int64"})
 
