@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html_render, language, near_dedup, secret_scan, suffix_dedup, token_store, tool_calls
+from . import audio, decontaminate, html_render, language, mixing, near_dedup, secret_scan, suffix_dedup, token_store, tool_calls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_tool_calls"] = op8_tool_calls
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain posteriors and the rate that mixes the domains to their targets."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_mixing"] = op10_mixing
