@@ -178,18 +178,18 @@ def domain_label() -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, keep: bool = False) -> DataFrame:
-    """Every row of docs (doc_id, or with `keep` all its columns) with tokens, domain, posterior and rate."""
+    """Every row of docs (its doc_id, or with `keep` all its columns) with tokens, domain, posterior and rate."""
     model = learn(docs, labels, domain_label())
     domains = model[0]
-    columns = docs.columns if keep else ["doc_id", "text"]
-    members = posteriors(docs.select(*columns), model)
-    members = materialize(members if keep else members.drop("text"), "members")
-    # Domains that the targets do not name are wanted as they are not: at weight 0.
+    scored = posteriors(docs.select(*(docs.columns if keep else ["doc_id", "text"])), model)
+    members = materialize(scored.select("tokens", "posterior", *([] if keep else ["doc_id"])), "members")
+    # Domains that the targets do not name are not wanted: they have weight 0.
     shares = [targets.get(d, 0.0) for d in domains] if any(d in targets for d in domains) else None
     steps, _, _ = fit_rates(members, shares, len(domains), total)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     names = F.array(*[F.lit(d) for d in domains])
-    return members.withColumn("domain", F.element_at(names, best)).withColumn("rate", F.round(rate_column(steps, len(domains)), 6))
+    rated = scored if keep else members.select("doc_id", "tokens", "posterior")
+    return rated.withColumn("domain", F.element_at(names, best)).withColumn("rate", F.round(rate_column(steps, len(domains)), 6))
 
 
 def copies(rate: Column, key: str = "doc_id") -> Column:

@@ -282,8 +282,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs for each class: the one of its least doc_id. Rows with that doc_id that are not its
-    first occurrence go with the class."""
-    kept = near_duplicates(docs, threshold).where("representative").select(F.col("doc_id").alias("_id"))
-    joined = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """One row of docs for each class, that of its least doc_id. Rows that share a doc_id stay or go
+    together, but equal rows stay once."""
+    kept = near_duplicates(docs, threshold).where("representative").select(F.col("doc_id").alias("_id")).distinct()
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return joined if repeated.isEmpty() else joined.dropDuplicates(["doc_id", "text"])
