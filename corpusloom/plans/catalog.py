@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import documents
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "doc_counts"
-
-
-def doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("docs"))
-
-
-QUERIES["doc_counts"] = doc_counts
-ORACLES["doc_counts"] = "SELECT source, count(*) AS docs FROM documents GROUP BY source"
+MODULES = (documents,)
+QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+FLAGSHIP = "doc_source_report"
