@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions_for
-from .hashing import mix64
+from .hashing import GOLDEN, mix64, span_hashes
 
 MATCH = 50
 K = 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
+#: Windows whose anchors are found at once; the arrays of a step stay in a processor's cache.
+STEP = 1 << 16
 #: Input bytes for each partition of anchors.
 PART_BYTES = 4 << 20
 #: Bytes of pieces in one collection, unless a single anchor has more.
@@ -86,12 +88,12 @@ def window_anchors(data: np.ndarray, match: int = MATCH, k: int = K) -> np.ndarr
     return np.minimum(value[: len(value) - rest], value[rest:]) if rest else value
 
 
-def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor hash, document) of the pieces of concatenated documents."""
-    starts, counts, keys, owners = [], [], [], []
+def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, anchor hash, document, hash of the bytes) of the pieces of concatenated documents."""
+    starts, counts, keys, owners, names = [], [], [], [], []
     ends = np.cumsum(sizes)
     n = len(data) - match + 1
-    step = BLOCK_BYTES
+    step = STEP
     for first in range(0, max(0, n), step):
         # Neighbouring steps may cut a piece in two; each window still lies in one piece.
         last = min(n, first + step)
@@ -110,10 +112,11 @@ def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int =
         keys.append(key[head])
         owners.append(owner[head])
         counts.append(np.bincount(group, minlength=len(head)).astype(np.int64))
+        names.append(span_hashes(data[first : last + match - 1], head, head + counts[-1] + match - 1))
     if not starts:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(owners)
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(owners), np.concatenate(names)
 
 
 def piece_bytes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, match: int = MATCH, k: int = K) -> np.ndarray:
@@ -133,8 +136,19 @@ def piece_bytes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, match:
 
 def distinct(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of the first of each distinct record, number of the record of each row)."""
-    records = np.ascontiguousarray(grid).view(np.dtype((np.void, grid.shape[1]))).ravel()
-    _, first, number = np.unique(records, return_index=True, return_inverse=True)
+    n, width = grid.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = grid
+    value = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for column in wide.view(np.uint64).T:
+            value = (value ^ column) * GOLDEN
+            value ^= value >> np.uint64(29)
+    _, first, number = np.unique(value, return_index=True, return_inverse=True)
+    if not (grid == grid[first[number]]).all():  # two records under one hash: compare them whole
+        _, first, number = np.unique(np.ascontiguousarray(grid).view(np.dtype((np.void, width))).ravel(), return_index=True, return_inverse=True)
     return first, number
 
 
@@ -197,54 +211,57 @@ def column_order(data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, memory_e
         return np.where(sizes[document] > length, coded[np.maximum(at, 0)] if len(coded) else 0, 0).astype(kind)
 
     try:
-        document = np.arange(m, dtype=np.int32)
-        columns.put("symbol", before(document, 0))
+        columns.put("symbol", before(np.arange(m), 0))
         columns.put("prefix", np.zeros(m, np.uint8))
-        columns.put("document", document)
-        columns.put("length", np.zeros(m, np.uint8))
-        newest = np.arange(m)
+        # Where the last round put each document's suffix, and the documents that have symbols left.
+        newest, document = np.arange(m), np.arange(m)
         for length in range(1, int(sizes.max()) + 1 if m else 0):
-            symbol, prefix, document = columns.get("symbol"), columns.get("prefix"), columns.get("document")
-            newest = newest[symbol[newest] != 0]
-            if not len(newest):
-                break
+            live = sizes[document] >= length
+            newest, document = newest[live], document[live]
+            symbol, prefix = columns.get("symbol"), columns.get("prefix")
             # Entry p stands for the suffix that its symbol prolongs; stable order by symbol places them.
-            order = np.argsort(symbol, kind="stable")
-            ended = int(np.count_nonzero(symbol == 0))
-            order = order[ended:]
-            rank = np.empty(len(symbol), np.int64)
-            rank[order] = np.arange(len(order))
-            own = np.sort(rank[newest])
-            place = m + own
-            inserted = order[own]
+            order = np.argsort(symbol, kind="stable")[int(np.count_nonzero(symbol == 0)) :]
+            rank = np.empty(len(symbol), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            own = rank[newest]
+            turn = np.argsort(own, kind="stable")
+            own, document = own[turn], document[turn]
+            newest = place = m + own.astype(np.int64)
 
             def joint(at: np.ndarray) -> np.ndarray:
                 """Common prefixes of the entries at these ranks with those one rank before."""
                 out = np.zeros(len(at), np.uint8)
                 near = np.flatnonzero((at > 0) & (at < len(order)))
-                near = near[symbol[order[at[near] - 1]] == symbol[order[at[near]]]]
-                r = at[near]
-                out[near] = np.minimum(_range_minima(prefix, order[r - 1] + 1, order[r]), cap - 1) + 1
+                low, high = order[at[near] - 1], order[at[near]]
+                same = symbol[low] == symbol[high]
+                near, low, high = near[same], low[same], high[same]
+                out[near] = np.minimum(_range_minima(prefix, low + 1, high), cap - 1) + 1
                 return out
 
-            total = len(symbol) + len(own)
-            old = np.ones(total, bool)
+            old = np.ones(len(symbol) + len(own), bool)
             old[place] = False
-            grown = np.empty(total, np.uint8)
+            grown = np.empty(len(old), np.uint8)
             grown[old] = prefix
             grown[place] = joint(own)
             after = own[own + 1 < len(order)] + 1
             grown[m + after] = joint(after)
             columns.put("prefix", grown)
-            fresh = document[inserted]
-            for name, values in (("symbol", before(fresh, length)), ("document", fresh), ("length", np.full(len(own), length, np.uint8))):
-                was = columns.get(name)
-                column = np.empty(total, was.dtype)
-                column[old] = was
-                column[place] = values
-                columns.put(name, column)
-            newest = place
-        return columns.get("symbol"), columns.get("prefix"), columns.get("document"), columns.get("length")
+            column = np.empty(len(old), kind)
+            column[old] = symbol
+            column[place] = before(document, length)
+            columns.put("symbol", column)
+        symbol, prefix = columns.get("symbol"), columns.get("prefix")
+        # The owners follow from the transform: a document's suffixes lie one step of the order apart.
+        order = np.argsort(symbol, kind="stable")[int(np.count_nonzero(symbol == 0)) :]
+        rank = np.full(len(symbol), -1, np.int64)
+        rank[order] = m + np.arange(len(order))
+        owner, size = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.uint8 if not m or sizes.max() < 256 else np.int32)
+        at, document = np.arange(m), np.arange(m, dtype=np.int32)
+        for length in range(int(sizes.max()) + 1 if m else 0):
+            owner[at], size[at] = document, length
+            at = rank[at]
+            document, at = document[at >= 0], at[at >= 0]
+        return symbol, prefix, owner, size
     finally:
         columns.close()
 
@@ -252,11 +269,16 @@ def column_order(data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, memory_e
 def least_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match: int = MATCH, memory_entries: int = MEMORY_ENTRIES) -> np.ndarray:
     """For distinct piece records: the least owner of each of their windows, piece by piece.
 
-    Records are taken in order of their anchors, in collections that never part an anchor."""
+    Records are taken in order of their anchors, in collections that never part an anchor. An anchor with one
+    distinct piece is a collection of one document: its windows are the piece's own."""
     windows = grid[:, -1].astype(np.int64)
     base = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), np.int64)
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    alone = count[number] == 1
+    out[:] = np.repeat(owners, windows)
     order = np.argsort(keys, kind="stable")
+    order = order[~alone[order]]
     sizes = windows[order] + match - 1
     turn = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, np.int64)
     heads = [0]
@@ -338,12 +360,19 @@ def _pack_keys(keys: np.ndarray, parts: int) -> bytes:
     return np.ascontiguousarray((keys // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
 
+def _unpack_keys(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :KEY_BYTES] = raw
+    return wide.view("<u8").ravel()
+
+
 def send_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, ids, sizes, data in zip(batch["block"], batch["ids"], batch["sizes"], batch["data"]):
                 _, sizes, raw = _load(ids, sizes, data)
-                _, _, key, owner = pieces_of(raw, sizes)
+                _, _, key, owner, _ = pieces_of(raw, sizes)
                 keys, _, many = _anchor_sets(key, owner)
                 order, part, bound = _by_part(keys, parts)
                 keys, many = keys[order], many[order]
@@ -362,10 +391,8 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
     """For each block and part which of its anchors two documents share, as bits in their order."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        raw = [np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES) for x in group["keys"]]
-        wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-        wide[:, :KEY_BYTES] = np.concatenate(raw)
-        keys = wide.view("<u8").ravel()
+        raw = [_unpack_keys(x) for x in group["keys"]]
+        keys = np.concatenate(raw)
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(r)) for x, r in zip(group["many"], raw)]).astype(bool)
         _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
         shared = count > 1
@@ -379,35 +406,42 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInPandas(run, "block long, part int, bits binary")
 
 
+def _shared_pieces(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, bits: dict[int, bytes], parts: int) -> tuple[np.ndarray, ...]:
+    """A block's pieces with a shared anchor: (start, windows, anchor, document, number of its distinct piece),
+    and of the distinct pieces, dealt to parts: (first place, part numbers, bounds).
+
+    Pieces are told apart by their anchor and a 64-bit hash of their bytes."""
+    start, windows, key, owner, name = pieces_of(raw, sizes)
+    keys, number, _ = _anchor_sets(key, owner)
+    order, part, bound = _by_part(keys, parts)
+    shared = np.zeros(len(keys), bool)
+    for p, a, b in zip(part.tolist(), bound.tolist(), bound[1:].tolist()):
+        shared[order[a:b]] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
+    kept = np.flatnonzero(shared[number])
+    start, windows, key, owner = start[kept], windows[kept], key[kept], owner[kept]
+    with np.errstate(over="ignore"):
+        name = name[kept] + key * GOLDEN
+    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    order, part, bound = _by_part(key[first], parts)
+    back = np.empty(len(first), np.int64)
+    back[order] = np.arange(len(first))
+    return start, windows, key, owner, back[which], first[order], part, bound
+
+
 def send_pieces(blocks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Each block's distinct pieces with a shared anchor, by part, and one row (part -1) that says where they
-    stand in the block."""
+    """Each block's distinct pieces with a shared anchor, by part, with the least owner of each."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        bits = dict(zip(right["part"].tolist(), right["bits"]))
         for block, ids, sizes, data in zip(left["block"], left["ids"], left["sizes"], left["data"]):
             ids, sizes, raw = _load(ids, sizes, data)
-            start, windows, key, owner = pieces_of(raw, sizes)
-            keys, number, _ = _anchor_sets(key, owner)
-            order, part, bound = _by_part(keys, parts)
-            bits = dict(zip(right["part"], right["bits"]))
-            shared = np.zeros(len(keys), bool)
-            for p, a, b in zip(part, bound, bound[1:]):
-                shared[order[a:b]] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
-            kept = np.flatnonzero(shared[number])
-            start, windows, key, owner = start[kept], windows[kept], key[kept], owner[kept]
-            grid = piece_bytes(raw, start, windows)
-            first, which = distinct(grid)
+            start, windows, key, owner, which, first, part, bound = _shared_pieces(ids, sizes, raw, bits, parts)
+            grid = piece_bytes(raw, start[first], windows[first])
             least = np.full(len(first), LAST)
             np.minimum.at(least, which, ids[owner])
-            order, part, bound = _by_part(key[first], parts)
-            back = np.empty(len(first), np.int64)
-            back[order] = np.arange(len(first))
-            first, least = first[order], least[order]
             for p, a, b in zip(part.tolist(), bound.tolist(), bound[1:].tolist()):
-                f = first[a:b]
-                rows.append((p, block, squeeze(grid[f].tobytes()), key[f].tobytes(), squeeze(least[a:b].tobytes())))
-            rows.append((-1, block, squeeze(start.astype("<i8").tobytes()), squeeze(back[which].astype("<i4").tobytes()), squeeze(windows.astype(np.uint8).tobytes())))
+                rows.append((p, block, squeeze(grid[a:b].tobytes()), _pack_keys(key[first[a:b]], parts), squeeze(least[a:b].tobytes())))
         return pd.DataFrame(rows, columns=["part", "block", "a", "b", "c"])
 
     pairs = blocks.groupBy("block").cogroup(answers.groupBy("block"))
@@ -425,7 +459,7 @@ def judge_pieces(sent: DataFrame) -> DataFrame:
         del grids
         first, number = distinct(grid)
         grid = grid[first]
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["b"]])[first]
+        keys = np.concatenate([_unpack_keys(x) for x in group["b"]])[first]
         owners = np.full(len(first), LAST)
         np.minimum.at(owners, number, np.concatenate([np.frombuffer(unsqueeze(x), np.int64) for x in group["c"]]))
         least = least_owners(grid, keys, owners)
@@ -440,61 +474,63 @@ def judge_pieces(sent: DataFrame) -> DataFrame:
             at += n
         return pd.DataFrame({"block": group["block"], "part": group["part"], "a": out})
 
-    return sent.where("part >= 0").groupBy("part").applyInPandas(run, "block long, part int, a binary")
+    return sent.groupBy("part").applyInPandas(run, "block long, part int, a binary")
 
 
 def _removed(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, start: np.ndarray, windows: np.ndarray, which: np.ndarray, least: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """For each byte of a block whether it goes."""
-    begin = np.cumsum(windows) - windows
-    spread = np.repeat(np.arange(len(start)), windows)
-    inside = np.arange(len(spread)) - begin[spread]
-    at = start[spread] + inside
-    owner = ids[np.searchsorted(np.cumsum(sizes), at, side="right")]
-    hit = at[least[base[which[spread]] + inside] < owner]
+    """For each byte of a block whether it goes; pieces are taken STEP / 4 at a time."""
     change = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(change, hit, 1)
-    np.add.at(change, hit + MATCH, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
-def settle(blocks: DataFrame, sent: DataFrame, judged: DataFrame, texts: bool = False) -> DataFrame:
+    ends = np.cumsum(sizes)
+    for low in range(0, len(start), STEP // 4):
+        part = slice(low, low + STEP // 4)
+        count = windows[part]
+        spread = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(len(spread)) - (np.cumsum(count) - count)[spread]
+        at = start[part][spread] + inside
+        hit = at[least[base[which[part]][spread] + inside] < ids[np.searchsorted(ends, at, side="right")]]
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + MATCH, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def settle(blocks: DataFrame, answers: DataFrame, judged: DataFrame, parts: int, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document; kept is its remaining bytes."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        told = right["a"].notna()
+        bits = dict(zip(right["part"][~told].tolist(), right["bits"][~told]))
+        found = right[told].sort_values("part")["a"]
         for doc_ids, sizes, data in zip(left["ids"], left["sizes"], left["data"]):
             ids, sizes, raw = _load(doc_ids, sizes, data)
             gone = np.zeros(len(raw), bool)
-            parts = right.sort_values("part")
-            own = parts[parts["part"] == -1]
-            if len(own) and len(parts) > 1:
-                start = np.frombuffer(unsqueeze(own["a"].iloc[0]), "<i8")
-                which = np.frombuffer(unsqueeze(own["b"].iloc[0]), "<i4").astype(np.int64)
-                windows = np.frombuffer(unsqueeze(own["c"].iloc[0]), np.uint8).astype(np.int64)
-                least = np.concatenate([np.frombuffer(unsqueeze(x), np.int64) for x in parts["a"].iloc[1:]])
-                size = np.zeros(int(which.max()) + 1, np.int64)
-                size[which] = windows
+            if len(found):
+                start, windows, _, _, which, first, _, _ = _shared_pieces(ids, sizes, raw, bits, parts)
+                least = np.concatenate([np.frombuffer(unsqueeze(x), np.int64) for x in found])
+                size = windows[first]
                 gone = _removed(raw, ids, sizes, start, windows, which, least, np.cumsum(size) - size)
             at = 0
             for doc_id, size in zip(doc_ids, sizes.tolist()):
                 own_gone, own_raw = gone[at : at + size], raw[at : at + size]
                 at += size
                 n = int(own_gone.sum())
-                spans = int(np.count_nonzero(own_gone[1:] & ~own_gone[:-1])) + int(bool(size) and bool(own_gone[0])) if n else 0
+                spans = int(np.count_nonzero(own_gone[1:] & ~own_gone[:-1])) + int(own_gone[0]) if n else 0
                 kept = own_raw[~own_gone].tobytes() if n else own_raw.tobytes()
                 rows.append((doc_id, size, n, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
         return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    answers = judged.unionByName(sent.where("part = -1").select("block", "part", "a", "b", "c"), allowMissingColumns=True)
+    right = answers.unionByName(judged, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, schema)
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """Every document's bytes without those that repeat an earlier document's."""
+    """Every document's bytes without those that repeat an earlier document's.
+
+    One plan from the table of blocks: the exchange of the blocks serves both co-groups."""
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_for(docs, PART_BYTES))
     blocks = cut_blocks(docs)
-    answers = shared_anchors(send_anchors(blocks, parts))
-    sent = materialize(send_pieces(blocks, answers, parts), "pieces")
-    return settle(blocks, sent, judge_pieces(sent), texts)
+    answers = materialize(shared_anchors(send_anchors(blocks, parts)), "shared-anchors")
+    judged = judge_pieces(send_pieces(blocks, answers, parts))
+    return settle(blocks, answers, judged, parts, texts)
