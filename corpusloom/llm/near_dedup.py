@@ -4,15 +4,21 @@ Words are those of the decontamination operator, a shingle five in a row (all of
 weighted by its count in the text. Each shingle's arrivals form a Poisson process whose rate is its weight;
 an arrival at a register keeps the register if it is the earliest there, and a shingle stops once its next
 arrival is later than every register (early termination). Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles. Texts with repeated shingles are sketched a
-second time with equal weights, where the same agreement is the plain Jaccard similarity.
+probability Jaccard similarity of their weighted shingles. Texts with repeated shingles are sketched with
+equal weights too, where the same agreement is the plain Jaccard similarity; the links are those of plain
+similarity, and both sketches propose candidates.
 
 BANDS bands of ROWS registers propose candidates: a pair at the threshold is missed with probability
 (1 - 0.8 ** ROWS) ** BANDS, about 5e-6. Texts of equal shingle sets are one class from the start, and only
-one of them goes on. In every bucket with two classes or more, a few leaders are compared with all members
-of other classes by the exact Jaccard similarity of their shingle sets; verified links join classes; leaders
-leave the bucket; and the rounds go on until no bucket holds two classes that were not compared. So the
-comparisons of a bucket stay in proportion to its size, none is dropped, and no bucket is gathered in a task.
+one of them goes on. Then two passes find the links of every bucket without emitting its pairs:
+
+1. Every member is compared with its bucket's leader, the member that shares most buckets with others,
+   by the exact Jaccard similarity of the shingle sets; links join classes.
+2. Where a bucket still holds several classes, the members outside its largest class are compared with all
+   members, in blocks of BLOCK_ROWS, by their registers; pairs that agree in PASS_SHARE of them or more
+   (3.5 deviations under the threshold) are verified in place, and only links leave the block.
+
+Pairs of one class need no comparison, so no link between classes is left out.
 
 Defined results: a null or empty text, or one without words, is a class of its own row; a class is named by
 its least doc_id (null ids rank last and a class of null ids alone is named null); repeated rows are rows of
@@ -28,14 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_back, materialize, text_rows
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-#: Leaders of a bucket in each round after the first.
-LEADERS = 8
+#: Members of a block, and the share of equal registers from which a pair is verified.
+BLOCK_ROWS = 1024
+PASS_SHARE = 0.71
 _WORD = np.ones(256, bool)
 _WORD[: ord("0")] = _WORD[ord("9") + 1 : ord("a")] = _WORD[ord("z") + 1 : 0x80] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -59,8 +66,8 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[tuple[np.
         bounds = np.searchsorted(place, np.cumsum([0, *(len(x) + 1 for x in own)]))
         with np.errstate(over="ignore"):
             joined = hashes.copy()
-            for k in range(1, size):
-                joined[: len(joined) - k] = joined[: len(joined) - k] * GOLDEN + hashes[k:]
+            for k in range(1, min(size, len(joined))):
+                joined[:-k] = joined[:-k] * GOLDEN + hashes[k:]
             joined = mix64(joined)
         for a, b in zip(bounds, bounds[1:]):
             if b - a >= size:
@@ -134,7 +141,7 @@ def prob_min_hash(elements: list[np.ndarray], weights: list[np.ndarray], registe
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band of each row."""
-    rows = signature.reshape(len(signature), bands, -1)
+    rows = signature.reshape(len(signature), bands, signature.shape[1] // bands)
     with np.errstate(over="ignore"):
         key = np.broadcast_to((np.arange(bands, dtype=np.uint64) + np.uint64(1)) * GOLDEN, rows.shape[:2]).copy()
         for k in range(rows.shape[2]):
@@ -150,7 +157,8 @@ def set_digest(elements: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, digest, keys) of every row, in the shared folder; texts without words have no digest."""
+    """(uid, doc_id, digest, keys, registers) of every row, in the shared folder: band keys, and 16 bits of each
+    register of the equal-weight sketch; texts without words have no digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -159,32 +167,60 @@ def sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(list(batch["text"]))
             plain = [e for e, _ in sets]
-            keys = band_keys(prob_min_hash(plain, [np.ones(len(e)) for e in plain]))
+            signature = prob_min_hash(plain, [np.ones(len(e)) for e in plain])
+            keys = band_keys(signature)
+            short = (signature >> np.uint64(48)).astype("<u2")
             again = [k for k, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
             weighted = band_keys(prob_min_hash([sets[k][0] for k in again], [sets[k][1] for k in again]))
             lists = [x if len(e) else x[:0] for x, e in zip(keys, plain)]
             for k, x in zip(again, weighted):
-                lists[k] = np.unique(np.concatenate([keys[k], x]))
+                lists[k] = np.concatenate([keys[k], np.setdiff1d(x, keys[k])])
             yield pd.DataFrame(
-                {"uid": np.arange(uid, uid + len(sets)), "doc_id": batch["doc_id"].astype("Int64"), "digest": [set_digest(e) if len(e) else None for e in plain], "keys": lists}
+                {"uid": np.arange(uid, uid + len(sets)), "doc_id": batch["doc_id"], "digest": [set_digest(e) if len(e) else None for e in plain], "keys": lists, "registers": [x.tobytes() for x in short]}
             )
             uid += len(sets)
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, "uid long, doc_id long, digest binary, keys array<long>"), "sketches")
+    rows = text_rows(docs).mapInPandas(run, "uid long, doc_id string, digest binary, keys array<long>, registers binary")
+    return materialize(id_back(rows), "sketches")
+
+
+def pack_set(elements: np.ndarray) -> bytes:
+    """The top 48 bits of sorted distinct hashes, six bytes each."""
+    return np.ascontiguousarray((elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def linked(x: bytes, y: bytes, threshold: float) -> bool:
+    """Whether two packed sets have a Jaccard similarity of at least the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([unpack_set(x), unpack_set(y)]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= threshold * (len(both) - common)
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, shingles) of the wanted (uid, doc_id, digest) rows, from their texts."""
+    """(uid, shingles) of the wanted (uid, doc_id, digest) rows, from their texts, as packed sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(u, e.tobytes()) for u, d, (e, _) in zip(batch["uid"], batch["digest"], shingle_sets(list(batch["text"]))) if set_digest(e) == bytes(d)]
+            rows = [(u, pack_set(e)) for u, d, (e, _) in zip(batch["uid"], batch["digest"], shingle_sets(list(batch["text"]))) if set_digest(e) == bytes(d)]
             yield pd.DataFrame(rows, columns=["uid", "shingles"]).astype({"uid": "int64"})
 
     ids = wanted.select("uid", F.col("doc_id").alias("_id"), "digest")
     joined = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("uid", "digest", "text")
     found = joined.mapInPandas(run, "uid long, shingles binary")
-    return materialize(found, "shingle-sets")
+    return materialize(found if _ids_once(docs) else found.dropDuplicates(["uid"]), "shingle-sets")
+
+
+def _ids_once(docs: DataFrame) -> bool:
+    """Whether no two rows share a doc_id."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,15 +228,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
-                n = (len(x) + len(y)) // 8
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(common >= threshold * (n - common))
+            keep = [linked(x, y, threshold) for x, y in zip(batch["sa"], batch["sb"])]
             yield batch.loc[keep, ["a", "b"]]
 
     left = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa"))
@@ -227,53 +255,80 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("uid", "label")
 
 
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket (key, uid) with the bucket's leader, once. Leaders come from
+    aggregates, so no bucket is sorted or gathered."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "key").groupBy("uid").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "uid")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("u"))).alias("x")).select("key", (-F.col("x.u")).alias("leader"))
+    met = members.join(leaders, "key").where("uid <> leader")
+    return met.select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
+
+
+def open_links(members: DataFrame, labels: DataFrame, registers: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): linked pairs of different classes that share a bucket.
+
+    members: key, band (-1 of the weighted sketch), uid; labels: uid, label of the classes so far; registers:
+    uid, registers; sets: uid, shingles."""
+    held = members.join(labels, "uid", "left").select("key", "band", "uid", F.coalesce("label", "uid").alias("label"))
+    counts = held.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
+    mixed = mixed.select("key", F.col("x.label").alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    held = materialize(held.join(mixed, "key"), "mixed-buckets")
+    needed = registers.join(held.select("uid").distinct(), "uid", "left_semi").join(sets, "uid")
+    rows = held.join(needed, "uid")
+    seat = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    every = rows.select("key", seat.alias("block"), "band", "uid", "label", "registers", "shingles")
+    asked = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "band", "uid", "label", "registers", "shingles")
+    asked = asked.select(*[F.col(c).alias(f"{c}_") for c in asked.columns])  # the two sides need names of their own
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(left) and len(right):
+            grid = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(len(x), -1)
+            x, y = grid(left["registers_"]), grid(right["registers"])
+            ux, lx, uy, ly = (c.to_numpy() for c in (left["uid_"], left["label_"], right["uid"], right["label"]))
+            own, other = left["shingles_"].tolist(), right["shingles"].tolist()
+            band = int(left["band_"].iloc[0])
+            for k in range(len(x)):
+                same = y == x[k]
+                near = (ly != lx[k]) & (same.mean(axis=1) >= PASS_SHARE)
+                if band >= 0:  # a pair belongs to the first bucket of the equal-weight sketch that it shares
+                    bands = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+                    near[np.flatnonzero(near)[bands[:, :band].any(axis=1)]] = False
+                for j in np.flatnonzero(near).tolist():
+                    if linked(own[k], other[j], threshold):
+                        a.append(min(ux[k], uy[j]))
+                        b.append(max(ux[k], uy[j]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    pairs = asked.groupBy("key_", "block_").cogroup(every.groupBy("key", "block"))
+    return pairs.applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size, representative) for each row of docs (doc_id, text)."""
     sketches = sketch(docs)
     firsts = sketches.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"))
     firsts = materialize(firsts, "representatives")
-    reps = sketches.join(firsts.select(F.col("rep").alias("uid")), "uid")
-    members = reps.select(F.explode("keys").alias("key"), "uid").distinct()
+    reps = sketches.select("uid", "doc_id", "digest", "keys").join(firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    # The first BANDS keys are those of the equal-weight sketch, in order of their bands.
+    members = reps.select(F.posexplode("keys").alias("band", "key"), "uid").withColumn("band", F.when(F.col("band") < BANDS, F.col("band")).otherwise(-1))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialize(members.join(shared, "key"), "buckets")
-    wanted = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "digest")
-    sets = candidate_sets(docs, wanted).dropDuplicates(["uid"])
+    members = materialize(members.join(shared, "key", "left_semi"), "buckets")
+    wanted = sketches.select("uid", "doc_id", "digest").join(members.select("uid").distinct(), "uid", "left_semi")
+    sets = candidate_sets(docs, wanted)
 
-    edges = compared = labels = None
-    leaders = 1
-    while True:
-        if labels is not None:
-            members = members.join(labels, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
-        else:
-            members = members.select("key", "uid", F.col("uid").alias("label"))
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        members = materialize(members.join(mixed, "key"), "buckets")
-        if members.isEmpty():
-            break
-        # Aggregates choose the leaders, so no bucket is sorted or gathered; small classes come first.
-        seat = F.pmod(F.xxhash64("uid"), F.lit(leaders))
-        choice = F.max(F.struct("label", "uid")) if leaders > 1 else F.min(F.struct("label", "uid"))
-        chosen = members.groupBy("key", seat.alias("seat")).agg(choice.alias("x")).select("key", F.col("x.uid").alias("leader"), F.col("x.label").alias("its"))
-        chosen = materialize(chosen, "leaders")
-        met = members.join(chosen, "key").where("label <> its")
-        pairs = met.select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = materialize(similar(pairs, sets, threshold), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.isEmpty():
-            labels = components(edges)
-        members = members.select("key", "uid").join(chosen.select("key", F.col("leader").alias("uid")), ["key", "uid"], "left_anti")
-        leaders = LEADERS
+    edges = materialize(similar(star_pairs(members), sets, threshold), "similar")
+    labels = components(edges)
+    more = materialize(open_links(members, labels, sketches.select("uid", "registers"), sets, threshold), "similar")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     rows = sketches.select("uid", "doc_id", "digest").join(firsts, "digest", "left")
     rows = rows.select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"))
-    if labels is not None:
-        rows = rows.join(labels.select(F.col("uid").alias("rep"), "label"), "rep", "left").select("uid", "doc_id", F.coalesce("label", "rep").alias("label"))
-    else:
-        rows = rows.select("uid", "doc_id", F.col("rep").alias("label"))
+    rows = rows.join(labels.select(F.col("uid").alias("rep"), "label"), "rep", "left").select("uid", "doc_id", F.coalesce("label", "rep").alias("label"))
     rows = materialize(rows, "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("uid").alias("u")))
     classes = rows.groupBy("label").agg(least.alias("x"), F.count("*").alias("class_size"))
@@ -286,5 +341,4 @@ def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     together, but equal rows stay once."""
     kept = near_duplicates(docs, threshold).where("representative").select(F.col("doc_id").alias("_id")).distinct()
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return joined if repeated.isEmpty() else joined.dropDuplicates(["doc_id", "text"])
+    return joined if _ids_once(docs) else joined.dropDuplicates(["doc_id", "text"])
