@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_back, materialize, text_rows
 
 PAD = 64
 RATE = 8000
@@ -189,8 +190,8 @@ def store_texts(docs: DataFrame, label: str = "telephony") -> DataFrame:
             rows = [payload(x) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in rows], "media": [wav(7, x) for _, x in rows]})
 
-    packed = docs.select("doc_id", "text").mapInPandas(pack, "doc_id long, n_bytes long, media binary")
-    return materialize(packed, label)
+    packed = text_rows(docs).mapInPandas(pack, "doc_id string, n_bytes long, media binary")
+    return materialize(id_back(packed), label)
 
 
 def store_pcm(media: DataFrame, rate: int = PCM_RATE, label: str = "pcm") -> DataFrame:
@@ -201,7 +202,8 @@ def store_pcm(media: DataFrame, rate: int = PCM_RATE, label: str = "pcm") -> Dat
             files = [None if x is None else wav(1, to_pcm(bytes(x), rate).astype("<i2").tobytes(), rate, 16, 2) for x in batch["media"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "pcm": files})
 
-    return materialize(media.select("doc_id", "media").mapInPandas(convert, "doc_id long, pcm binary"), label)
+    rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "media").mapInPandas(convert, "doc_id string, pcm binary")
+    return materialize(id_back(rows), label)
 
 
 def describe(data: bytes, adpcm: np.ndarray) -> str:
@@ -243,5 +245,5 @@ def media_features(media: DataFrame) -> DataFrame:
                 }
             )
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(read, schema)
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return id_back(media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media").mapInPandas(read, schema))

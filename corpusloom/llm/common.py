@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with whole texts this keeps a Python worker's batch at a few MB.
 ARROW_ROWS = 256
@@ -54,12 +55,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the id as text: pandas turns whole numbers beside nulls into floats."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def id_back(rows: DataFrame) -> DataFrame:
+    """rows with the id of text_rows as a number again."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for a file scan the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions that grow with the input: at least the session's number, and one for each bytes_each."""
+    """Partitions that grow with a written table: at least the session's number, and one for each bytes_each."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan_bytes(df) / bytes_each))

@@ -35,7 +35,7 @@ HIDDEN = frozenset(
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
-    "search section summary table ul listing xmp caption thead tbody tfoot tr td th select".split()
+    "search section summary table ul listing xmp caption thead tbody tfoot tr td th select textarea".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl dir menu blockquote pre listing xmp figure table hr fieldset".split())
 ENDS_PARAGRAPH = frozenset(
@@ -181,8 +181,11 @@ class Builder:
         elif tag == "p" and not self.open.get("p"):
             self._body()
             self.stack[-1].children.append(Node("p"))
+        elif tag == "head":
+            self._close(frozenset(["head"]), frozenset())
         elif tag not in ("html", "body") and self.open.get(tag):
-            self._close(frozenset([tag]), frozenset() if tag in ("table", "head") else FENCE - {tag})
+            # The end of an inline element does not end the blocks that began inside it.
+            self._close(frozenset([tag]), BLOCK if tag not in BLOCK else frozenset() if tag == "table" else FENCE - {tag})
 
 
 def parse(page: str) -> Node:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for
+from .common import id_back, materialize, partitions_for, text_rows
 from .hashing import GOLDEN, mix64, span_hashes
 
 MATCH = 50
@@ -40,15 +40,15 @@ K = 20
 BLOCK_BYTES = 4 << 20
 #: Windows whose anchors are found at once; the arrays of a step stay in a processor's cache.
 STEP = 1 << 16
-#: Input bytes for each partition of anchors.
-PART_BYTES = 4 << 20
+#: Bytes of compressed blocks for each partition of anchors.
+PART_BYTES = 11 << 18
 #: Bytes of pieces in one collection, unless a single anchor has more.
 COLLECTION_BYTES = 1 << 20
 MEMORY_ENTRIES = 16 << 20
 LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
 
-BLOCK_SCHEMA = "block long, ids array<long>, sizes array<int>, data binary"
+BLOCK_SCHEMA = "block long, ids array<string>, sizes array<int>, data binary"
 
 
 def squeeze(data: bytes) -> bytes:
@@ -318,8 +318,8 @@ def cut_blocks(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"block": [number], "ids": [ids], "sizes": [[len(x) for x in texts]], "data": [squeeze(b"".join(texts))]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids.append(None if doc_id is pd.NA else int(doc_id))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids.append(doc_id if isinstance(doc_id, str) else None)
                 texts.append(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
                 total += len(texts[-1])
                 if total >= BLOCK_BYTES:
@@ -328,11 +328,11 @@ def cut_blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, BLOCK_SCHEMA), "blocks")
+    return materialize(text_rows(docs).mapInPandas(run, BLOCK_SCHEMA), "blocks")
 
 
 def _load(ids: list, sizes: list, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    owner = np.array([LAST if x is None or x != x else x for x in ids], np.int64)
+    owner = np.array([LAST if x is None else int(x) for x in ids], np.int64)
     return owner, np.array(sizes, np.int64), np.frombuffer(unsqueeze(bytes(data)), np.uint8)
 
 
@@ -518,19 +518,19 @@ def settle(blocks: DataFrame, answers: DataFrame, judged: DataFrame, parts: int,
                 spans = int(np.count_nonzero(own_gone[1:] & ~own_gone[:-1])) + int(own_gone[0]) if n else 0
                 kept = own_raw[~own_gone].tobytes() if n else own_raw.tobytes()
                 rows.append((doc_id, size, n, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=names)
 
     right = answers.unionByName(judged, allowMissingColumns=True)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, schema)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    return id_back(blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, schema))
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """Every document's bytes without those that repeat an earlier document's.
 
     One plan from the table of blocks: the exchange of the blocks serves both co-groups."""
-    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_for(docs, PART_BYTES))
     blocks = cut_blocks(docs)
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_for(blocks, PART_BYTES))
     answers = materialize(shared_anchors(send_anchors(blocks, parts)), "shared-anchors")
     judged = judge_pieces(send_pieces(blocks, answers, parts))
     return settle(blocks, answers, judged, parts, texts)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, partitions_for, shared_path
+from .common import drop_path, id_back, materialize, partitions_for, shared_path, text_rows
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 #: Expected, least and most ids of a chunk.
@@ -39,7 +39,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SOLID = np.ones(256, bool)
 _SOLID[[ord(" "), ord("\n")]] = False
-CHUNK_BYTES = 64 << 20
+#: Bytes of the staged store for each recipe part.
+PART_BYTES = 64 << 20
 
 
 class WordEncoder:
@@ -281,9 +282,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
                 row += 1
                 if len(seen) > SEEN_CHUNKS:
                     seen.clear()
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "row", "n", "digests", "data"]).astype({"doc_id": "Int64", "row": "Int64"})
+            yield pd.DataFrame(rows, columns=["kind", "doc_id", "row", "n", "digests", "data"]).astype({"row": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "kind string, doc_id long, row long, n long, digests binary, data binary")
+    return id_back(text_rows(docs).mapInPandas(run, "kind string, doc_id string, row long, n long, digests binary, data binary"))
 
 
 def build_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> dict[str, DataFrame]:
@@ -300,7 +301,7 @@ def build_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> dict[s
     # Files in ascending doc_id order; the content settles the order of repeated ids.
     flat = stage.where("kind = 'recipe'").select("doc_id", "n", "digests", "part", "row")
     sorted_recipes = (
-        flat.repartitionByRange(partitions_for(docs, CHUNK_BYTES), "doc_id", "digests", "part", "row")
+        flat.repartitionByRange(partitions_for(stage, PART_BYTES), "doc_id", "digests", "part", "row")
         .sortWithinPartitions("doc_id", "digests", "part", "row")
         .drop("part", "row")
         .withColumn("part", F.spark_partition_id())
@@ -309,11 +310,11 @@ def build_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> dict[s
 
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["root"] = [merkle([x[i : i + 32] for i in range(0, len(x), 32)]) for x in batch["digests"]]
-            yield batch
+            yield batch.assign(root=[merkle([x[i : i + 32] for i in range(0, len(x), 32)]) for x in batch["digests"]])
 
-    schema = "doc_id long, n long, digests binary, part int, position long"
-    recipes = materialize(sorted_recipes.mapInPandas(seal, schema + ", root binary"), "token-recipes")
+    named = sorted_recipes.withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = "doc_id string, n long, digests binary, part int, position long, root binary"
+    recipes = materialize(id_back(named.mapInPandas(seal, schema)), "token-recipes")
 
     # The ids before each document: totals of the parts (one number a part) carried on, then a running sum inside.
     totals = recipes.groupBy("part").agg(F.sum("n").alias("ids"), F.count("*").alias("documents"))
@@ -373,7 +374,7 @@ def _links(store: dict[str, DataFrame], chunk_columns: DataFrame) -> DataFrame:
     joined = links.join(chunk_columns, "digest", "left")
     rest = [F.col(c) for c in chunk_columns.columns if c != "digest"]
     gathered = joined.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", *rest))).alias("pieces"))
-    return recipes.select("position", "doc_id", "start", "n", "root", n_chunks.alias("n_chunks")).join(gathered, "position")
+    return recipes.select("position", F.col("doc_id").cast("string").alias("doc_id"), "start", "n", "root", n_chunks.alias("n_chunks")).join(gathered, "position")
 
 
 def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
@@ -398,11 +399,11 @@ def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
                 found = merkle([bytes(p["digest"]) for p in pieces])
                 good = whole and found == bytes(root) and all(p["sound"] for p in pieces) and sum(k for _, k in parts) == n
                 rows.append((doc_id, start, n, join_crcs(parts) if whole else None, int(n_chunks), found.hex(), bool(good)))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "merkle_root", "verified"]).astype({"doc_id": "Int64", "ids_crc32": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "merkle_root", "verified"]).astype({"ids_crc32": "Int64"})
 
     checked = store["chunks"].mapInPandas(check, "digest binary, n long, crc long, sound boolean")
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, merkle_root string, verified boolean"
-    return _links(store, checked).mapInPandas(rebuild, schema)
+    schema = "doc_id string, start long, n_tokens long, ids_crc32 long, n_chunks long, merkle_root string, verified boolean"
+    return id_back(_links(store, checked).mapInPandas(rebuild, schema))
 
 
 def reconstruct(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
@@ -412,7 +413,7 @@ def reconstruct(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
         kind = encoder(tokenizer_path).kind
         for batch in batches:
             ids = [np.frombuffer(b"".join(bytes(p["data"]) for p in pieces), kind).astype(np.int64).tolist() for pieces in batch["pieces"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
-    return _links(store, store["chunks"].select("digest", "data")).select("doc_id", "pieces").mapInPandas(run, "doc_id long, ids array<int>")
+    return id_back(_links(store, store["chunks"].select("digest", "data")).select("doc_id", "pieces").mapInPandas(run, "doc_id string, ids array<int>"))
 
