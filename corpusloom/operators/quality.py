@@ -113,6 +113,20 @@ def alternates(messages: Column) -> Column:
     return (F.size(turns) > 0) & (F.size(turns) % 2 == 0) & F.forall(right, lambda x: x)
 
 
+def encoding_code(messages: Column, source: Column, tokens: Column, supervised: Column, max_length: int) -> Column:
+    """Why a cleaned conversation is not encoded: injected marks, order of roles, a foreign answer, its length.
+
+    Whole conversations only: `tokens` counts its ids, `supervised` those that are learnt."""
+    marks = F.exists(messages, lambda m: F.contains(m["text"], F.lit(X.EOT)) | F.contains(m["text"], F.lit(X.IM_START)) | F.contains(m["text"], F.lit(X.IM_END)))
+    french = F.forall(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: X.looks_french(m["text"]))
+    return (
+        F.when(marks, "controle_chat_injecte")
+        .when(~alternates(messages), "ordre_des_roles")
+        .when((source != "verified") & ~french, "reponse_non_francaise")
+        .when((tokens > max_length + 1) | (supervised <= 0), "trop_long_ou_vide")
+    )
+
+
 def pair_ok(question: Column, answer: Column, least: int = 60) -> Column:
     """Whether a question and answer pass (the passage-thrice rule is functions.exact.triple_repeat)."""
     q, a = X.clean(question), X.clean(answer)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audits, dedup, quality
-from .documents import FINGERPRINT, WORDS, re2
+from .documents import FINGERPRINT, FRENCH, WORDS, re2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,78 @@ def answer_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rambling_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).select("conv_id", F.array_join(X.by_role(F.col("m"), "assistant"), "\n").alias("t"))
     return rows.select("conv_id", F.round(X.rambling_penalty(F.col("t")), 6).alias("penalty"))
+
+
+@query(
+    rf"SELECT conv_id, CASE WHEN NOT coalesce(len(t) > 0 AND len(t) % 2 = 0 AND list_bool_and(list_transform(t, lambda x, i: x.role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)), false) THEN 'ordre_des_roles' WHEN source <> 'verified' AND NOT list_bool_and(list_transform(a, lambda x: length(x) < 40 OR len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[A-Za-zÀ-ÿ'']+')), {FRENCH})) >= 3)) THEN 'reponse_non_francaise' WHEN n > 513 OR s <= 0 THEN 'trop_long_ou_vide' END AS code FROM (SELECT conv_id, source, {TURNS} AS t, {ANSWERS} AS a, {ALL_IDS} AS n, {TAUGHT} AS s FROM ({FULL}))"
+)
+def conv_encoding_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a conversation is not encoded whole into 512 ids."""
+    own = masked(spark, sf_dir).withColumn("s", audits.supervised_tokens(F.col("mask"))).withColumn("n", F.size("tokens")).select("conv_id", "n", "s")
+    rows = records(spark, sf_dir).withColumn("m", X.full_messages(F.col("m"))).join(own, "conv_id")
+    return rows.select("conv_id", quality.encoding_code(F.col("m"), F.col("source"), F.col("n"), F.col("s"), 512).alias("code"))
+
+
+PAIR = f"SELECT conv_id, trim(regexp_replace(coalesce({USERS}[1], ''), '\\s+', ' ', 'g')) AS q, trim(regexp_replace(coalesce({ANSWERS}[1], ''), '\\s+', ' ', 'g')) AS a FROM ({FULL})"
+
+
+def _french(c: str) -> str:
+    return rf"(length({c}) < 40 OR len(list_intersect(list_distinct(regexp_extract_all(lower({c}), '[A-Za-zÀ-ÿ'']+')), {FRENCH})) >= 3)"
+
+
+@query(f"SELECT conv_id, length(q) BETWEEN 35 AND 7000 AND length(a) BETWEEN 60 AND 5000 AND {_french('q')} AND {_french('a')} AS ok FROM ({PAIR})")
+def qa_pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first question and answer of each conversation as a pair."""
+    rows = records(spark, sf_dir).withColumn("m", X.full_messages(F.col("m")))
+    first = lambda role: F.coalesce(F.try_element_at(X.by_role(F.col("m"), role), F.lit(1)), F.lit(""))
+    return rows.select("conv_id", quality.pair_ok(first("user"), first("assistant")).alias("ok"))
+
+
+@query(
+    f"SELECT conv_id, CASE WHEN think IS NULL THEN 'sans_think' WHEN final = '' THEN 'final_vide' WHEN length(think) > 40 THEN 'think_trop_long' WHEN length(final) > CASE WHEN conv_id % 2 = 0 THEN 1500 ELSE 500 END THEN 'final_trop_long' END AS code FROM (SELECT conv_id, CASE WHEN conv_id % 5 <> 0 THEN trim(substr(q, 1, 10 + conv_id % 50)) END AS think, a AS final FROM ({PAIR}))"
+)
+def distillation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers wrapped as a teacher's output, refused for the reasons of the distillation filter."""
+    rows = records(spark, sf_dir).withColumn("m", X.full_messages(F.col("m")))
+    first = lambda role: X.squeeze(F.coalesce(F.try_element_at(X.by_role(F.col("m"), role), F.lit(1)), F.lit("")))
+    think = F.substring(first("user"), F.lit(1), (F.col("conv_id") % 50 + 10).cast("int"))
+    raw = F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("<think>"), think, F.lit("</think>"), first("assistant"))).otherwise(first("assistant"))
+    kind = F.when(F.col("conv_id") % 2 == 0, "chat").otherwise("maths")
+    return rows.select("conv_id", quality.distilled_code(raw, kind, 40, 500, F.lit(True)).alias("code"))
+
+
+@query(r"SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(trim(text), '\s+', ' ', 'g')) ORDER BY conv_id * 1000 + turn) AS r FROM conversations WHERE role = 'user' AND length(trim(text)) >= 8) WHERE r = 1 ORDER BY sha256(concat_ws(':', '6', CAST(conv_id * 1000 + turn AS VARCHAR))) LIMIT 40")
+def prompt_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 distinct chat prompts in a stable shuffle (the limit is the operator)."""
+    from ..operators.sampling import prompt_pool as pool
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    named = rows.withColumn("prompt_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("prompt", F.col("text")).withColumn("q", F.lit("")).withColumn("category", F.lit("chat"))
+    return pool(named, 6, 40).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, document, count(*) AS size FROM (SELECT conv_id, coalesce(sum((role = 'assistant')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS document FROM conversations) GROUP BY ALL")
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as a stream whose documents end with an assistant's turn."""
+    from ..operators.budget import segments
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.when(F.col("role") == "assistant", 0).otherwise(1).alias("token"))
+    return segments(rows, "conv_id", "turn", "token").select("conv_id", "document", "size")
+
+
+@query()
+def circular_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 30 000 ids of the pool from id 1000 around; the last one is the end id."""
+    from ..operators.budget import circular_copy as copy
+
+    pool = masked(spark, sf_dir).select("conv_id", "tokens")
+    out, _ = copy(pool, ["conv_id"], "tokens", 30_000, 1000)
+    return out
+
+
+@query(rf"SELECT conv_id, turn, CASE WHEN contains(t, '</think>') THEN trim(string_split(t, '</think>')[-1], {STRIP}) ELSE trim(string_split(t, '<think>')[1], {STRIP}) END AS final FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>a</think>' WHEN 1 THEN 'b<think>' ELSE '' END || text AS t FROM conversations)")
+def final_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of turns with made-up thinking marks."""
+    mark = F.when(F.col("turn") % 3 == 0, "<think>a</think>").when(F.col("turn") % 3 == 1, "b<think>").otherwise("")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select("conv_id", "turn", X.visible_final(F.concat(mark, "text")).alias("final"))

@@ -183,9 +183,22 @@ def decode_qa_text(rows: DataFrame) -> DataFrame:
     return kept.select(_pair(prompt, F.trim(answer, F.lit(STRIP))).alias("m"), F.lit("grounded_qa").alias("k"))
 
 
+def decode_nemotron(rows: DataFrame) -> DataFrame:
+    """kind nemotron: messages inside JSON metadata."""
+    messages = F.from_json(F.get_json_object("metadata", "$.messages"), "array<struct<role:string,content:string>>")
+    return _with_text(rows, F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("text")))).where("m is not null")
+
+
+def decode_pleias(rows: DataFrame) -> DataFrame:
+    """kind pleias: French rows; the seed's url or the row's id is the group."""
+    kept = rows.where("language = 'fr'")
+    group = F.coalesce(F.when(F.col("query_seed_url") != "", F.col("query_seed_url")), F.col("synth_id").cast("string"))
+    return _with_text(kept, _pair(_trim(F.col("query")), _trim(F.col("synthetic_answer")))).withColumn("group", group)
+
+
 DECODERS = {
     "text": decode_text, "chat": decode_chat, "chat_human": decode_chat_human, "alpaca": decode_alpaca, "dolphin_think": decode_dolphin, "gsm8k": decode_gsm8k,
-    "messages": decode_messages, "openhermes": decode_openhermes, "book": decode_book, "oral": decode_oral, "oasst": decode_oasst,
+    "messages": decode_messages, "scholar": decode_messages, "nemotron": decode_nemotron, "pleias": decode_pleias, "openhermes": decode_openhermes, "book": decode_book, "oral": decode_oral, "oasst": decode_oasst,
 }
 
 
