@@ -10,7 +10,7 @@ from corpusloom.llm.catalog import tokenizer_path
 from corpusloom.llm.common import ensure_session, materialize, table
 
 #: Shares of the tokens that the mixture is to have; domains are those of the label table.
-MIXTURE = {"quality1-toxic0": 0.90, "quality0-toxic0": 0.08, "quality1-toxic1": 0.015, "quality0-toxic1": 0.005}
+MIXTURE = {"quality1-toxic0": 0.86, "quality0-toxic0": 0.08, "quality1-toxic1": 0.05, "quality0-toxic1": 0.01}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,8 +129,8 @@ def rate_column(steps: list[list[float]], k: int) -> Column:
 def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
     """(steps, expected domain totals, wanted totals) for members (tokens, posterior).
 
-    `targets` are shares of the `total` tokens; without a total it is the largest that needs no domain's
-    tokens more than once on average."""
+    `targets` are shares of the `total` tokens; without a total it is the one that takes the tokens of the
+    domain with the largest share once on average, and the others as often as the shares then ask."""
 
     def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         p = [F.element_at("posterior", i + 1) for i in range(k)]
@@ -152,7 +152,7 @@ def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: fl
     if not share.sum() or not mass.sum():
         return [], mass.tolist(), mass.tolist()
     share /= share.sum()
-    size = total if total is not None else float(np.min(mass[share > 0] / share[share > 0]))
+    size = total if total is not None else float(mass[share.argmax()] / share.max())
     wanted = share * size
     scale = mass.sum()
     error = mass - wanted
