@@ -175,9 +175,9 @@ def cross_source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt dedup with at most two uses of an answer's opening in a source."""
+    """Prompt dedup with at most two answers of a kind in a source; the kind is the answers' number of lines."""
     own = records(spark, sf_dir).select("conv_id", "source", X.by_role(F.col("m"), "user").alias("u"), X.by_role(F.col("m"), "assistant").alias("a"))
-    keyed = own.select("source", "conv_id", F.lower(F.substring(F.array_join("u", "\n"), 1, 3)).alias("prompt"), F.lower(F.substring(F.array_join("a", "\n"), 1, 2)).alias("answer"))
+    keyed = own.select("source", "conv_id", X.fingerprint(F.array_join("u", "\n")).alias("prompt"), F.size(X.full_lines(F.array_join("a", "\n"))).alias("answer"))
     return dedup.answer_cap(keyed, "prompt", "source", "answer", 2, ["source", "conv_id"]).select("conv_id", "source")
 
 

@@ -160,8 +160,9 @@ def doc_dedup_after_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doc_two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy: kept iff no earlier kept row has the same opening words or the same ending words."""
-    rows = documents(spark, sf_dir).select("doc_id", F.substring(F.lower("text"), 1, 24).alias("a"), F.lower(F.expr("right(text, 24)")).alias("b"))
+    """Greedy: kept iff no earlier kept row has the same fingerprint or the same set of words."""
+    bag = F.sha2(F.array_join(F.array_sort(F.array_distinct(X.words(F.col("text")))), " "), 256)
+    rows = documents(spark, sf_dir).select("doc_id", X.fingerprint(F.col("text")).alias("a"), bag.alias("b"))
     return dedup.two_key_dedup(rows, "a", "b", ["doc_id"]).select("doc_id")
 
 

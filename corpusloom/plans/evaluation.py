@@ -208,12 +208,12 @@ def corpus_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.log_summary(events(spark, sf_dir).withColumnRenamed("user_id", "run"), "run", "event_id", "value")
 
 
-# Preferences: candidates are a document's neighbours by id, judged by hash.
+# Preferences: four neighbours by id are a prompt's candidates, a text's digest stands for it; judges are hashes.
 
 
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, judge A, judge B): four candidates a prompt; scores 0..4 from hashes, rankings by score."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("text"))
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("text"))
     flat = ids.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4).cast("string")).alias("prompt_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id"), "text", "doc_id")
     score = lambda salt: F.conv(F.substring(F.sha2(F.concat(F.lit(salt), (F.floor(F.col("doc_id") / 2)).cast("string")), 256), 1, 4), 16, 10).cast("int") % 5
     flat = flat.withColumn("sa", score("q")).withColumn("sb", F.greatest(F.lit(0), score("q") - (F.col("doc_id") % 2).cast("int")))
@@ -228,7 +228,7 @@ def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return candidates, judge("sa"), judge("sb")
 
 
-FLAT = "SELECT 'p' || (doc_id // 4) AS prompt_id, 'c' || doc_id AS id, substr(text, 1, 40) AS text, doc_id % 11 <> 0 AS stopped, q AS sa, greatest(0, q - doc_id % 2)::INTEGER AS sb FROM (SELECT *, (concat('0x', substr(sha256('q' || (doc_id // 2)), 1, 4))::INTEGER) % 5 AS q FROM documents)"
+FLAT = "SELECT 'p' || (doc_id // 4) AS prompt_id, 'c' || doc_id AS id, sha256(text) AS text, doc_id % 11 <> 0 AS stopped, q AS sa, greatest(0, q - doc_id % 2)::INTEGER AS sb FROM (SELECT *, (concat('0x', substr(sha256('q' || (doc_id // 2)), 1, 4))::INTEGER) % 5 AS q FROM documents)"
 PAIRS = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY sa DESC, id) AS ra, row_number() OVER (PARTITION BY prompt_id ORDER BY sb DESC, id) AS rb FROM ({FLAT})),
 top AS (SELECT a.prompt_id, a.id, a.text, a.stopped, a.sa, a.sb, a.id = b.id AS agree FROM f a JOIN f b ON a.prompt_id = b.prompt_id AND a.ra = 1 AND b.rb = 1),
 state AS (SELECT *, CASE WHEN NOT agree THEN 'judge_top_disagreement' WHEN NOT stopped OR text = '' THEN 'chosen_invalid' END AS reason FROM top),
