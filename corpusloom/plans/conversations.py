@@ -59,7 +59,7 @@ def chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with an empty thinking block ahead of plain answers, and what is learnt of them."""
     own = records(spark, sf_dir).select("conv_id", X.chat_segments(F.col("m"), ensure_think=True).alias("s"))
     learnt = F.filter("s", lambda x: x["learn"])
-    return own.select("conv_id", F.size("s").alias("segments"), F.size(learnt).alias("learnt"), F.sha2(F.array_join(F.transform(learnt, lambda x: x["text"]), ""), 256).alias("taught"))
+    return own.select("conv_id", F.size("s").cast("long").alias("segments"), F.size(learnt).cast("long").alias("learnt"), F.sha2(F.array_join(F.transform(learnt, lambda x: x["text"]), ""), 256).alias("taught"))
 
 
 RULES = "(VALUES " + ", ".join(f"('{n}', {p}, {f}, {t})" for n, (_, _, p, f, t) in sorted(quality.SFT_RULES.items())) + ") AS rules(source, max_prompt, max_final, max_think)"
@@ -124,7 +124,7 @@ def conv_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT role, min(n) FILTER (up > round_even((c - 1) * 0.5, 0)) AS median, min(n) FILTER (up > round_even((c - 1) * 0.9, 0)) AS p90, min(n) FILTER (up > round_even((c - 1) * 0.99, 0)) AS p99 FROM (SELECT role, length(text) AS n, row_number() OVER (PARTITION BY role ORDER BY length(text)) AS up, count(*) OVER (PARTITION BY role) AS c FROM conversations WHERE text IS NOT NULL) GROUP BY role"
 )
 def conv_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", F.length("text").alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", F.length("text").cast("long").alias("n"))
     return audits.nearest_ranks(rows, ["role"], "n", {"median": 0.5, "p90": 0.9, "p99": 0.99})
 
 

@@ -58,7 +58,7 @@ def doc_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text source decoder: trimmed texts of 200 characters or more."""
     from ..sources.readers import decode_text
 
-    return decode_text(documents(spark, sf_dir)).select("doc_id", F.length("t").alias("n"))
+    return decode_text(documents(spark, sf_dir)).select("doc_id", F.length("t").cast("long").alias("n"))
 
 
 @query(r"SELECT doc_id, round(len(regexp_extract_all(text, '\p{L}'))::DOUBLE / greatest(length(text), 1), 6) AS share FROM documents")
@@ -68,7 +68,7 @@ def doc_alpha_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(l) AS lines, round(CASE WHEN len(l) > 0 THEN len(list_distinct(l))::DOUBLE / len(l) ELSE 1.0 END, 6) AS share FROM (SELECT doc_id, {LINES} AS l FROM documents)")
 def doc_line_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.size(X.full_lines(F.col("text"))).alias("lines"), F.round(X.line_share(F.col("text")), 6).alias("share"))
+    return documents(spark, sf_dir).select("doc_id", F.size(X.full_lines(F.col("text"))).cast("long").alias("lines"), F.round(X.line_share(F.col("text")), 6).alias("share"))
 
 
 @query(f"SELECT doc_id, reject FROM ({CLEANED})")
@@ -315,7 +315,7 @@ def deck_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, min(n) FILTER (up > round_even((c - 1) * 0.5, 0)) AS median, min(n) FILTER (up > round_even((c - 1) * 0.9, 0)) AS p90, min(n) FILTER (up > round_even((c - 1) * 0.99, 0)) AS p99, max(n) AS longest FROM (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text)) AS up, count(*) OVER (PARTITION BY source) AS c FROM documents) GROUP BY source")
 def doc_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles by half-even rounding, from histograms."""
-    rows = documents(spark, sf_dir).select("source", F.length("text").alias("n"))
+    rows = documents(spark, sf_dir).select("source", F.length("text").cast("long").alias("n"))
     return audits.nearest_ranks(rows, ["source"], "n", {"median": 0.5, "p90": 0.9, "p99": 0.99, "longest": 1.0})
 
 

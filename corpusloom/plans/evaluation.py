@@ -92,7 +92,7 @@ def replay_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT task_id, i, round(ok - m, 9) AS advantage FROM (SELECT task_id, i, ok, avg(ok) OVER w AS m, min(ok) OVER w AS lo, max(ok) OVER w AS hi FROM ({ROLLOUTS}) WINDOW w AS (PARTITION BY task_id)) WHERE lo < hi")
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.group_advantage(rollouts(spark, sf_dir), "task_id", "ok").select("task_id", "i", F.round("advantage", 9).alias("advantage"))
+    return sampling.group_advantage(rollouts(spark, sf_dir), "task_id", "ok").select("task_id", F.col("i").cast("long").alias("i"), F.round("advantage", 9).alias("advantage"))
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def ood_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.ood_gates(own)
 
 
-@query(f"SELECT capability, answer, hits FROM (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY hits DESC, answer) AS r FROM (SELECT capability, initial_successes AS answer, count(*) AS hits FROM ({TASKS}) GROUP BY capability, initial_successes)) WHERE r = 1")
+@query(f"SELECT capability, answer::BIGINT AS answer, hits FROM (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY hits DESC, answer) AS r FROM (SELECT capability, initial_successes AS answer, count(*) AS hits FROM ({TASKS}) GROUP BY capability, initial_successes)) WHERE r = 1")
 def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.majority(tasks(spark, sf_dir), "capability", "initial_successes")
 
