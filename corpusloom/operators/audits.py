@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def nearest_rank(name: str, q: float) -> Column:
-    """The element at half-even rounding of (n - 1) q of the sorted values, as an aggregate; 0 without any.
-
-    Exact, by counts of the distinct values (lengths), so that a group's rows are not gathered."""
-    values = F.collect_list(name)
-    return F.coalesce(F.try_element_at(F.array_sort(values), (F.bround((F.count(name) - 1) * F.lit(q), 0) + 1).cast("int")), F.lit(0))
-
-
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """One row a group with its nearest-rank percentiles, from a histogram of the distinct values."""
     hist = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
