@@ -6,6 +6,8 @@ forms. Words are runs of letters, numbers and underscores.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ TRIPLE_REPEAT = r"(?s)(.{30,}?)\1\1"
 REFUSALS = ("en tant qu'intelligence artificielle", "en tant que modèle de langage", "je ne peux pas répondre")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: what stands inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(text: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -66,26 +73,29 @@ def words(text: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """The n-grams of an array as arrays; none if it is shorter."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.slice(items, i, n))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
+    none = F.array().cast("array<array<string>>")
+    return let(items, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))).otherwise(none))
+
+
+def _unique(items: Column, n: int) -> Column:
+    """Distinct over all n-grams of an array; null without any."""
+    return F.when(F.size(items) >= n, F.size(F.array_distinct(ngrams(items, n))) / (F.size(items) - (n - 1)))
 
 
 def unique_share(text: Column, n: int = 4) -> Column:
     """Distinct over all word n-grams; null without any."""
-    grams = ngrams(words(text), n)
-    return F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams))
+    return let(words(text), lambda w: _unique(w, n))
 
 
 def repetition(text: Column, n: int = 4, floor: int = 80) -> Column:
     """1 - distinct/total word n-grams; 0 under `floor` words or without n-grams."""
-    return F.when(F.size(words(text)) < floor, F.lit(0.0)).otherwise(F.coalesce(1.0 - unique_share(text, n), F.lit(0.0)))
+    return let(words(text), lambda w: F.when(F.size(w) < floor, F.lit(0.0)).otherwise(F.coalesce(1.0 - _unique(w, n), F.lit(0.0))))
 
 
 def repetition_penalty(text: Column, n: int = 4) -> Column:
     """How far the distinct share falls under 0.95, over 0.5, within 0..1; 0 under 20 words."""
-    share = unique_share(text, n)
-    return F.when(F.size(words(text)) < 20, F.lit(0.0)).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (0.95 - share) / 0.5)), F.lit(0.0)))
+    part = lambda w: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (0.95 - _unique(w, n)) / 0.5))
+    return let(words(text), lambda w: F.when(F.size(w) < 20, F.lit(0.0)).otherwise(F.coalesce(part(w), F.lit(0.0))))
 
 
 def rambling_penalty(text: Column) -> Column:
@@ -114,8 +124,7 @@ def full_lines(text: Column) -> Column:
 
 def line_share(text: Column) -> Column:
     """Distinct over all full lines; 1 without any."""
-    lines = full_lines(text)
-    return F.when(F.size(lines) > 0, F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(1.0))
+    return let(full_lines(text), lambda x: F.when(F.size(x) > 0, F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(1.0)))
 
 
 def clean_book(text: Column) -> Column:

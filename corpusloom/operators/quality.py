@@ -28,7 +28,7 @@ def document_code(text: Column, book: bool = False) -> Column:
     """Why a raw document is refused; null keeps it. `text` should be NFC-normalised (functions.exact.nfc)."""
     body = F.trim(text, F.lit(" \n\t\r"))
     after = X.clean_book(body) if book else body
-    lines = X.full_lines(after)
+    repeats = X.let(X.full_lines(after), lambda x: (F.size(x) > 10) & (F.size(F.array_distinct(x)) < F.size(x) * 0.65))
     return (
         F.when(text.isNull(), "not_text")
         .when(X.has_special(body), "special_token")
@@ -37,7 +37,7 @@ def document_code(text: Column, book: bool = False) -> Column:
         .when(F.length(body) > MAX_CHARS, "too_long")
         .when(F.length(after) - F.length(F.replace(after, F.lit("�"), F.lit(""))) > 2, "replacement_chars")
         .when(F.regexp_count(after, F.lit(r"\p{L}")) < F.length(after) * 0.30, "few_letters")
-        .when((F.size(lines) > 10) & (F.size(F.array_distinct(lines)) < F.size(lines) * 0.65), "repeated_lines")
+        .when(repeats, "repeated_lines")
     )
 
 
@@ -65,16 +65,18 @@ def with_rules(records: DataFrame, rules: dict = SFT_RULES) -> DataFrame:
 
 def answer_code(content: Column, source: Column, max_final: Column) -> Column:
     """Why an assistant message is refused."""
-    final = X.without_think(content)
-    return (
-        F.when(~X.tags_balanced(content), "balises_think_invalides")
-        .when(final == "", "reponse_finale_vide")
-        .when(F.length(final) > max_final, "reponse_trop_longue")
-        .when(X.repetition(final) > 0.35, "repetition")
-        .when(final.rlike(X.COARSE), "contenu_grossier")
-        .when((source != "identity") & final.rlike(X.FOREIGN_ASSISTANT), "identite_etrangere")
-        .when(source.isin(*PERSONA_SOURCES) & final.rlike(X.INVENTED_PERSONA), "persona_inventee")
-    )
+
+    def of_final(final: Column) -> Column:
+        return (
+            F.when(final == "", "reponse_finale_vide")
+            .when(F.length(final) > max_final, "reponse_trop_longue")
+            .when(X.repetition(final) > 0.35, "repetition")
+            .when(final.rlike(X.COARSE), "contenu_grossier")
+            .when((source != "identity") & final.rlike(X.FOREIGN_ASSISTANT), "identite_etrangere")
+            .when(source.isin(*PERSONA_SOURCES) & final.rlike(X.INVENTED_PERSONA), "persona_inventee")
+        )
+
+    return F.when(~X.tags_balanced(content), "balises_think_invalides").otherwise(X.let(X.without_think(content), of_final))
 
 
 def clean_conversations(records: DataFrame, rules: dict = SFT_RULES) -> DataFrame:
