@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with whole texts this keeps a Python worker's batch at a few MB.
 ARROW_ROWS = 256
+#: Rows of a table of ids that may be sent to every executor (about 32 MB).
+BROADCAST_IDS = 2_000_000
 
 
 def ensure_session(spark: SparkSession) -> SparkSession:
@@ -44,6 +46,12 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_ids(ids: DataFrame, label: str) -> DataFrame:
+    """A table of ids, written; it is broadcast if it holds BROADCAST_IDS rows at most, by its count."""
+    table = materialize(ids, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage through Spark's own file system layer."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written_ids
+
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,8 +114,9 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, size: int = WINDOW) -> DataFrame:
     """docs without the rows whose share of hit words is above `share` (0: any hit)."""
-    marked = report(docs, benchmark, size).where("contaminated").where(F.col("n_hit") > F.col("n_words") * F.lit(share)).select("doc_id").distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["doc_id"]), "left_anti")
+    hit = report(docs, benchmark, size).where("contaminated").where(F.col("n_hit") > F.col("n_words") * F.lit(share))
+    marked = written_ids(hit.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

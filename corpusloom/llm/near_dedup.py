@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, materialize, text_rows
+from .common import id_back, materialize, text_rows, written_ids
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each class, that of its least doc_id. Rows that share a doc_id stay or go
-    together, but equal rows stay once."""
-    kept = near_duplicates(docs, threshold).where("representative").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    together, but equal rows stay once. The join is with the ids that go, the smaller side."""
+    found = near_duplicates(docs, threshold).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("representative").alias("stays"))
+    going = written_ids(found.where("not stays").select("_id"), "duplicates")
+    joined = docs.join(going, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
     return joined if _ids_once(docs) else joined.dropDuplicates(["doc_id", "text"])
