@@ -33,7 +33,7 @@ SAMPLE_ROWS = 4000
 #: Longest labelled text of the sample, in characters: longer rows are not learnt from.
 SAMPLE_CHARS = 20_000
 EPOCHS, RATE, PENALTY = 60, 0.5, 1e-4
-ROUNDS, TOLERANCE = 30, 1e-6
+ROUNDS, TOLERANCE, LEAST_GAIN = 30, 1e-6, 1e-3
 
 #: Domains of the label table and the shares of the tokens that the mixture is to have.
 TARGETS = {"quality1-toxic0": 0.88, "quality0-toxic0": 0.06, "quality1-toxic1": 0.05, "quality0-toxic1": 0.01}
@@ -132,21 +132,24 @@ def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: fl
     `targets` are shares of the `total` tokens; without a total it is the one that takes the tokens of the
     domain with the largest share once on average, and the others as often as the shares then ask."""
 
-    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    def measure(*trials: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(domain totals, Gram matrix of the documents with positive rate) after each trial's steps, in one pass."""
         p = [F.element_at("posterior", i + 1) for i in range(k)]
-        rate = members.select("tokens", "posterior", rate_column(steps, k).alias("r"))
-        t = F.col("tokens").cast("double")
-        sums = [F.coalesce(F.sum(t * F.col("r") * p[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
-        gram = [F.coalesce(F.sum(F.when(F.col("r") > 0, t * p[i] * p[j])), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-        found = rate.agg(*sums, *gram).first()
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = found[f"g{i}_{j}"]
-        return np.array([found[f"s{i}"] for i in range(k)]), g
+        rates = members.select("tokens", "posterior", *[rate_column(steps, k).alias(f"r{n}") for n, steps in enumerate(trials)])
+        t, columns = F.col("tokens").cast("double"), []
+        for n in range(len(trials)):
+            r = F.col(f"r{n}")
+            columns += [F.coalesce(F.sum(t * r * p[i]), F.lit(0.0)).alias(f"s{n}_{i}") for i in range(k)]
+            columns += [F.coalesce(F.sum(F.when(r > 0, t * p[i] * p[j])), F.lit(0.0)).alias(f"g{n}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        found = rates.agg(*columns).first()
+        out = []
+        for n in range(len(trials)):
+            g = np.array([[found[f"g{n}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            out.append((np.array([found[f"s{n}_{i}"] for i in range(k)]), g))
+        return out
 
     steps: list[list[float]] = []
-    mass, gram = measure(steps)
+    ((mass, gram),) = measure(steps)
     share = np.array(targets if targets is not None else [1.0] * k, float)
     share = np.where(mass > 0, np.maximum(share, 0), 0)
     if not share.sum() or not mass.sum():
@@ -157,18 +160,20 @@ def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: fl
     scale = mass.sum()
     error = mass - wanted
     for _ in range(ROUNDS):
-        if np.abs(error).max() <= TOLERANCE * scale:
+        before = np.linalg.norm(error)
+        if before <= TOLERANCE * scale:
             break
         step = np.linalg.lstsq(gram + 1e-9 * scale * np.eye(k), error, rcond=None)[0]
-        for _ in range(8):  # a step that helps; halved where the projection bends too much of it
-            trial, next_gram = measure([*steps, step.tolist()])
-            if np.linalg.norm(trial - wanted) < np.linalg.norm(error):
-                break
-            step = step / 2
-        else:
+        # The whole step and shorter ones, for where the projection bends too much of it; the best one counts.
+        trials = [[*steps, (step * part).tolist()] for part in (1.0, 0.5, 0.25, 0.0625)]
+        found = measure(*trials)
+        best = min(range(len(trials)), key=lambda n: np.linalg.norm(found[n][0] - wanted))
+        after = np.linalg.norm(found[best][0] - wanted)
+        if after >= before:
+            break
+        steps, gram, error = trials[best], found[best][1], found[best][0] - wanted
+        if after > (1 - LEAST_GAIN) * before:  # the targets are out of reach, and this is as near as it gets
             break
-        steps.append(step.tolist())
-        error, gram = trial - wanted, next_gram
     return steps, (error + wanted).tolist(), wanted.tolist()
 
 
