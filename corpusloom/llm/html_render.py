@@ -21,7 +21,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 # Fixed values of the HTML standard: element classes.

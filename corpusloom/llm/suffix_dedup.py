@@ -30,7 +30,6 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import id_back, materialize, partitions_for, text_rows
 from .hashing import GOLDEN, mix64, span_hashes
