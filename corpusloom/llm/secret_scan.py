@@ -1,17 +1,19 @@
 """Secret findings with false positives removed by a random forest, in DataFrame functions only.
 
-A candidate is a word's value of MIN_LENGTH or more key characters, bare, quoted or behind `name=`, with a
-digit, a capital inside, or a telling name. Its features are length, character transitions and classes,
-dictionary coverage, path shape and the neighbouring words. The forest is trained by Spark ML on labelled
-findings (by default a table made by rule from hashes: keys, tokens and passwords against digests, numbers,
-paths, identifiers and placeholders; pass your own table for another corpus) and then written out as one
-Column expression, so that scanning is a projection.
+A candidate is a run of MIN_LENGTH or more key characters with a digit, a capital inside, or a telling name,
+whatever else its word holds; any other character is a border, so a word (a URL, minified JSON, unspaced code)
+may have several. Its name is what stands ahead of it behind `=` or `:`; the second part of `//user:...@` has the
+name password. Its features are length, character transitions and classes, dictionary coverage, path shape and the
+words ahead: the rest of its field in its own word, and for a word's first run the two words before. The forest is
+trained by Spark ML on labelled findings (by default a table made by rule from hashes: keys, tokens and passwords
+against digests, numbers, paths, identifiers and placeholders; pass your own table for another corpus) and then
+written out as one Column expression, so that scanning is a projection.
 
 Bounded fit: TRAINING_ROWS labelled findings, TREES trees of depth DEPTH, whatever the corpus.
 
 Defined results: a null or empty text has no candidate and gives no row; repeated rows give their findings
-again; equal candidates at several places are a row each; other columns are not read; an empty table gives
-an empty result. Words are cut at white space; texts of any length are scanned whole.
+again; equal candidates at several places, of one word too, are a row each; other columns are not read; an empty
+table gives an empty result. Words are cut at white space; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -29,8 +31,16 @@ TREES, DEPTH, SEED = 24, 7, 17
 #: Probability from which a candidate is a secret.
 THRESHOLD = 0.5
 
-VALUE = r"""^(?:[(\[{<"'`]*([A-Za-z_][A-Za-z0-9_.\-]*)["'`]?[=:]+)?[(\[{<"'`]*([A-Za-z0-9+/_~.\-]{12,}={0,2})["'`)\]}>,;:!?.]*$"""
-ROUGH = r"[A-Za-z0-9+/_~.\-]{12,}"
+KEY = r"[A-Za-z0-9+/_~.\-]"
+ROUGH = KEY + "{12,}"
+#: Where a run begins; the run at the start of a piece with its padding, which is no `=` ahead of a value.
+START = f"(?<!{KEY})(?={KEY}{{12}})"
+VALUE = rf"""^{KEY}{{12,}}(?:={{1,2}}(?!["'`\\(\[{{<]*[A-Za-z0-9+/_~\-=]))?"""
+#: The name at the end of what is left of a run; each stretch of name characters is tried once.
+NAME = r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)[\\"'`)\]}]*[=:]+>?[\\"'`(\[{<]*$"""
+OPENING, FIELD_BORDERS = "([{<\\\"'`", "?&;{}|"
+#: The user of scheme://user:password@host, left of the password.
+USER = r"//[^\s/?#:@]*:$"
 TELLING = r"(?i)(?:secret|token|passw|passwd|pwd|api_?-?key|apikey|auth|bearer|credential|private|access_?-?key|client_?-?key|signature)"
 HARMLESS = r"(?i)(?:commit|sha-?\d|md5|checksum|digest|hash|uuid|guid|version|revision|example|sample|dummy|placeholder|page|order|phone|card|call|tel|https?:|file|path|build|date)"
 #: Words that keys do not hold by chance; coverage is the share of a value's characters inside them.
@@ -156,23 +166,30 @@ def score(trees: list[str]) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, position, name, value, before, after) of every candidate; position counts words from 0."""
-    rough = docs.select("doc_id", "text").where(F.col("text").rlike(ROUGH + "|" + TELLING))
+    rough = docs.select("doc_id", "text").where(F.col("text").rlike(ROUGH))
     words = rough.select("doc_id", F.split("text", r"\s+").alias("w"))
-    places = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) >= MIN_LENGTH, F.when(x.rlike(VALUE), i))), lambda i: i.isNotNull())
+    places = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) >= MIN_LENGTH, F.when(x.rlike(ROUGH), i))), lambda i: i.isNotNull())
     near = F.transform(
         places,
         lambda i: F.struct(
             i.alias("position"), F.element_at("w", i + 1).alias("word"),
-            F.array_join(F.slice("w", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("before"),
+            F.array_join(F.slice("w", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("ahead"),
             F.coalesce(F.try_element_at("w", i + 2), F.lit("")).alias("after"),
         ),
     )
     flat = words.select("doc_id", F.explode(near).alias("f")).select("doc_id", "f.*")
-    named = flat.select(
-        "doc_id", "position", F.regexp_extract("word", VALUE, 1).alias("name"), F.regexp_replace(F.regexp_extract("word", VALUE, 2), r"[.\-]+$", "").alias("value"), "before", "after"
-    )
+    # Each piece but a first one without a run starts with a run; the piece before it is what is left of it.
+    pieces = flat.select("doc_id", "position", "ahead", "after", F.split("word", START).alias("p"))
+    runs = F.transform("p", lambda x, i: F.struct(x.alias("piece"), F.when(i > 0, F.element_at("p", F.greatest(i, F.lit(1)))).otherwise("").alias("left")))
+    each = pieces.select("doc_id", "position", "ahead", "after", F.explode(runs).alias("r")).select("doc_id", "position", "ahead", "after", "r.*")
+    valued = each.select("*", F.regexp_replace(F.regexp_extract("piece", VALUE, 0), r"[.\-]+$", "").alias("value")).where(F.length("value") >= MIN_LENGTH)
+    user = F.col("left").rlike(USER) & F.col("piece").rlike(f"^{KEY}{{12,}}={{0,2}}@")
+    named = valued.select("*", F.when(user, "password").otherwise(F.regexp_extract("left", NAME, 1)).alias("name"))
+    rest = F.translate(F.rtrim(F.regexp_replace("left", NAME, ""), F.lit(OPENING)), FIELD_BORDERS, "," * len(FIELD_BORDERS))
+    field = F.when(user, "").otherwise(F.substring_index(rest, ",", -1))
+    before = F.concat_ws(" ", F.when(~F.col("left").rlike("^" + ROUGH), F.col("ahead")), F.when(field != "", field))
     shape = F.col("value").rlike("[0-9]|[a-z][A-Z]") | F.col("name").rlike(TELLING)
-    return named.where((F.length("value") >= MIN_LENGTH) & shape)
+    return named.where(shape).select("doc_id", "position", "name", "value", before.alias("before"), "after")
 
 
 def scan(docs: DataFrame, trees: list[str], threshold: float = THRESHOLD) -> DataFrame:
