@@ -183,8 +183,9 @@ class Builder:
         elif tag == "head":
             self._close(frozenset(["head"]), frozenset())
         elif tag not in ("html", "body") and self.open.get(tag):
-            # The end of an inline element does not end the blocks that began inside it.
-            self._close(frozenset([tag]), BLOCK if tag not in BLOCK else frozenset() if tag == "table" else FENCE - {tag})
+            # The end of an inline element does not end the blocks that began inside it; a cell outside a table holds no end back.
+            fence = FENCE - {tag} if self.open.get("table") else FENCE - CELLS - {tag}
+            self._close(frozenset([tag]), BLOCK if tag not in BLOCK else frozenset() if tag == "table" else fence)
 
 
 def parse(page: str) -> Node:
@@ -418,6 +419,7 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
                     table.rows.append([(lines, 1, 1)])
                 table.rows.append(flow.rows or [])
                 continue
+            lines = lines + (table_lines([flow.rows], []) if flow.rows else [])  # a row outside a table stands for itself
         elif tag == "caption":
             table = next((f for f in reversed(flows) if f.node.tag == "table"), None)
             if table is not None:

@@ -42,6 +42,17 @@ def test_nested_tables_stay_in_their_cell():
     assert tables == 2 and text == "a     b\n\n1  2" and text.split("\n")[0] == "a     b"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><tr><td>a<td>b</div>c", "a  b\nc"), ("<tr><td>a</td></tr><tr><th>b</th></tr>", "a\nb"), ("<table><tr><td>a</table><tr><td>b<td>c</tr>d", "a\n\nb  c\nd"),
+        ("<div><tr>x<td>a<td hidden>h</div>", "x\na"), ("<div><tr></tr></div>c", "c"), ("<div><tr><td>a<p>b<td>c</div>", "a  c\n\nb"),
+    ],
+)
+def test_rows_outside_a_table(page, want):
+    assert render(page) == want
+
+
 def test_tables_of_pages(spark):
     rows = [(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None), (2, "v", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
