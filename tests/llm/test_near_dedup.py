@@ -95,6 +95,22 @@ def test_a_large_group_of_uneven_copies(spark):
     assert classes((r["class_id"], r["doc_id"]) for r in got) == want
 
 
+def test_the_gate_follows_the_threshold(spark):
+    assert [N.gate(t) for t in (0.8, 0.75, 0.7)] == [158, 143, 130]
+    for threshold, equal in ((0.8, 160), (0.7, 140)):
+        elements = np.sort(np.random.default_rng(9).integers(1, 2**63, 110).astype(np.uint64))
+        common = round(200 * threshold / (1 + threshold)) + 1
+        x, y = elements[:100], np.sort(np.concatenate([elements[:common], elements[100:]]))
+        one, two = np.arange(240, dtype="<u2"), np.arange(240, dtype="<u2")
+        two[equal:] += 1000
+        members = spark.createDataFrame([(5, 0, 1), (5, 0, 2)], "key long, band int, uid long")
+        labels = spark.createDataFrame([(1, 1), (2, 2)], "uid long, label long")
+        registers = spark.createDataFrame([(1, bytearray(one.tobytes())), (2, bytearray(two.tobytes()))], "uid long, registers binary")
+        sets = spark.createDataFrame([(1, bytearray(N.pack_set(x))), (2, bytearray(N.pack_set(y)))], "uid long, shingles binary")
+        assert N.linked(N.pack_set(x), N.pack_set(y), threshold)
+        assert [(r["a"], r["b"]) for r in N.open_links(members, labels, registers, sets, threshold).collect()] == [(1, 2)]
+
+
 def test_defined_cases(nasty, none):
     got = {}
     for r in N.near_duplicates(nasty).collect():
