@@ -16,7 +16,7 @@ call); duplicate_call (the identifier was called before in the conversation; the
 place gets the results); missing_ref (a reference to no call of the conversation); cycle (it waits for
 itself). A call with several results takes all, in order. Malformed JSON arguments give valid = false and
 the error `arguments: not JSON`; a call without a known schema has valid = null. Null texts are empty;
-null identifiers never link. Further columns are not read; empty tables give an empty result.
+null identifiers never link, and other identifiers than strings link by their canonical JSON text. Further columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -104,14 +104,22 @@ def violations(value: object, schema: dict, at: str = "arguments") -> list[str]:
     return out
 
 
+def identifier(value: object) -> str | None:
+    """An identifier as text: a string as it is, another value but null by its canonical JSON, if it has one."""
+    try:
+        return value if value is None or isinstance(value, str) else canonical(value)
+    except ValueError:  # NaN or infinite
+        return None
+
+
 def references(value: object) -> list[str]:
     """The identifiers that a value refers to, sorted, once each."""
     found, todo = set(), [value]
     while todo:
         x = todo.pop()
         if isinstance(x, dict):
-            if set(x) == {"$ref"} and isinstance(x["$ref"], str):
-                found.add(x["$ref"])
+            if set(x) == {"$ref"} and (own := identifier(x["$ref"])) is not None:
+                found.add(own)
             todo.extend(x.values())
         elif isinstance(x, list):
             todo.extend(x)
@@ -136,7 +144,7 @@ def parse_calls(conversations: DataFrame) -> DataFrame:
                     found, ok = _json(block)
                     found = found if ok and isinstance(found, dict) else {}
                     own = found.get("id")
-                    rows.append((conv, turn, place, own if isinstance(own, str) else None, found.get("name") if isinstance(found.get("name"), str) else None, canonical(found["arguments"]) if "arguments" in found else None))
+                    rows.append((conv, turn, place, identifier(own), found.get("name") if isinstance(found.get("name"), str) else None, canonical(found["arguments"]) if "arguments" in found else None))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "call_id", "name", "arguments"])
 
     marked = conversations.where("role = 'assistant' and contains(text, '<tool_call>')")
@@ -154,7 +162,7 @@ def parse_results(conversations: DataFrame) -> DataFrame:
                     found, ok = _json(block)
                     found = found if ok and isinstance(found, dict) else {}
                     own = found.get("id")
-                    rows.append((conv, turn, place, own if isinstance(own, str) else None, canonical(found.get("content"))))
+                    rows.append((conv, turn, place, identifier(own), canonical(found.get("content"))))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "call_id", "content"])
 
     marked = conversations.where("role = 'tool' and contains(text, '<tool_response>')")

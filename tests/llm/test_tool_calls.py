@@ -64,6 +64,18 @@ def test_blocks_in_texts(spark):
     assert by["c1-0"]["status"] == "linked" and by["c1-2"]["status"] == "no_call"
 
 
+def test_identifiers_that_are_no_strings(spark):
+    call = lambda i, args: f'<tool_call>{json.dumps({"id": i, "name": "add", "arguments": args})}</tool_call>'
+    rows = [
+        (1, 0, "assistant", call(7, {"a": 1}) + call(8, {"a": {"$ref": 7}}) + call(float("nan"), {"a": 1}) + call(None, {"a": {"$ref": None}})),
+        (1, 1, "tool", "".join(f'<tool_response>{{"id": {i}, "content": 2}}</tool_response>' for i in ("7", "8", "null"))),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = T.link(T.parse_calls(frame), T.parse_results(frame), SCHEMAS).collect()
+    assert sorted((r["call_id"] or "", r["status"], r["level"] or 0) for r in got) == [("", "no_call", 0), ("", "no_result", 0), ("", "no_result", 0), ("7", "linked", 0), ("8", "linked", 1)]
+    assert all(r["valid"] for r in got if r["call_id"])
+
+
 def test_defined_cases(spark):
     schema = "conv_id long, turn long, role string, text string, level string, position string, canonical string"
     rows = [(None, None, None, None, "x", "y", "z"), (3, 0, "system", "s", "x", "y", "z"), (3, 1, "user", "", "x", "y", "z"), (3, 1, "user", "", "x", "y", "z"), (3, 2, "assistant", "a" * 300_000, "x", "y", "z")]
