@@ -7,7 +7,11 @@ three sets of files in the shared folder:
 * chunks: each distinct chunk once, addressed by the sha256 of its packed ids;
 * recipes: in ascending doc_id order, each document's chunk addresses and lengths, its id count, the
   number of ids before it and the Merkle root of its chunk addresses;
-* manifest: one row for each recipe part with the Merkle root of its documents' roots.
+* manifest: one row for each recipe part with the Merkle root of its documents' roots, their number, and the
+  number of ids before it and in it.
+
+Reading back compares each part's recipes with the manifest: a recipe that is lost, repeated, altered or out of
+order makes `verified` false for its part. A part of which no recipe is left has no rows; `sound_parts` lists it.
 
 Defined results: a null or empty text is the end id alone; repeated doc_ids each keep a recipe, in a
 stable order by their content; null doc_ids come first; further columns are not read; an empty table
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, id_back, materialize, partitions_for, shared_path, text_rows
-from .hashing import GOLDEN, mix64, runs, span_hashes
+from .hashing import GOLDEN, equal_spans, loads, mix64, padded_loads, runs, span_hashes
 
 #: Expected, least and most ids of a chunk.
 MEAN_IDS, MIN_IDS, MAX_IDS = 256, 64, 1024
@@ -48,9 +52,11 @@ class WordEncoder:
 
     The tokenizer drops white space, counts letters in lower case and merges inside words only, so a text's
     ids are those of its words in order. Texts are cut at blanks and line feeds, and a full stop or comma
-    that closes a letter is a word of its own. Each new word is encoded by the library; its ids are kept
-    under a 64-bit hash, and the words of a whole batch are looked up together. Texts with the first
-    character of an added token, and all texts of a tokenizer without word ends, go to the library as they are.
+    that closes a letter is a word of its own. Each new word is encoded by the library; its ids and bytes are
+    kept under a 64-bit hash, and the words of a whole batch are looked up together. A word counts as found
+    only where its bytes are those kept; one whose hash another word holds is encoded by the library. Texts with
+    the first character of an added token, and all texts of a tokenizer without word ends, go to the library as
+    they are.
     """
 
     def __init__(self, path: str):
@@ -74,6 +80,8 @@ class WordEncoder:
         self.entry = np.zeros(1 << 17, np.int32)
         self.offset = np.zeros(1, np.int64)  # entry k holds pool[offset[k] : offset[k + 1]]
         self.pool = np.zeros(0, self.kind)
+        self.spelt = np.zeros(1, np.int64)  # and is spelt letters[spelt[k] : spelt[k + 1]]; eight zeros close the letters
+        self.letters = np.zeros(8, np.uint8)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -134,10 +142,17 @@ class WordEncoder:
             size = 1 << (4 * (known + len(words))).bit_length()
             self.slots, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._enter(kept, entries)
-        ids = self.encode_words(words)
-        self._enter(hashes, np.arange(known, known + len(words), dtype=np.int32))
+        self._enter(hashes, self._keep(words))
+
+    def _keep(self, words: list[str]) -> np.ndarray:
+        """New entries for words."""
+        known = len(self.offset) - 1
+        ids, raw = self.encode_words(words), [x.encode("utf-8", "surrogatepass") for x in words]
         self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(x) for x in ids])])
         self.pool = np.concatenate([self.pool, *ids])
+        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum([len(x) for x in raw])])
+        self.letters = np.concatenate([self.letters[:-8], np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8)])
+        return np.arange(known, known + len(words), dtype=np.int32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
@@ -157,6 +172,11 @@ class WordEncoder:
         close = np.empty(len(first), np.int64)
         first[place], close[place] = start, end - marked
         first[place[marked] + 1], close[place[marked] + 1] = end[marked] - 1, end[marked]
+
+        def spell(at: np.ndarray) -> list[str]:
+            plain = data.tobytes()
+            return [plain[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), close[at].tolist())]
+
         hashes = span_hashes(data, first, close) | np.uint64(1)
         found = self._find(hashes)
         if (found < 0).any():
@@ -166,9 +186,15 @@ class WordEncoder:
                 self._forget()
                 fresh, at = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
-            plain = data.tobytes()
-            self._learn(fresh, [plain[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[missing[at]].tolist(), close[missing[at]].tolist())])
+            self._learn(fresh, spell(missing[at]))
             found = self._find(hashes)
+        width = close - first
+        same = self.spelt[found + 1] - self.spelt[found] == width
+        same[same] = equal_spans(loads(data), first[same], padded_loads(self.letters), self.spelt[found[same]], width[same])
+        if not same.all():
+            other = np.flatnonzero(~same)
+            words, which = np.unique(np.array(spell(other), object), return_inverse=True)
+            found[other] = self._keep(words.tolist())[which]
         low = self.offset[found]
         size = self.offset[found + 1] - low
         total = np.cumsum(size)
@@ -329,40 +355,50 @@ def build_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> dict[s
         base = F.col("base")
     recipes = recipes.withColumn("start", base + F.coalesce(F.sum("n").over(inside), F.lit(0)))
 
-    manifest = _manifest(recipes)
+    recipes = recipes.select("part", "position", "doc_id", "start", "n", "digests", "root")
+    manifest = materialize(part_roots(recipes), "token-manifest")
     drop_path(spark, stage_path)
-    return {"chunks": chunks, "recipes": recipes.select("position", "doc_id", "start", "n", "digests", "root"), "manifest": manifest}
+    return {"chunks": chunks, "recipes": recipes, "manifest": manifest}
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row for each recipe part: its documents, ids and the Merkle root of their roots, in order. The
-    roots stream through one task a part; the tree keeps one node for each of its levels."""
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """A row for each recipe part: its first start, documents, ids and the Merkle root of their starts and roots, in
+    order. The roots stream through one task a part; the tree keeps one node for each of its levels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, documents, ids, stack = None, 0, 0, []
+        part, first, documents, ids, stack = None, 0, 0, 0, []
 
         def close() -> pd.DataFrame:
             rest = None
             while stack:
                 _, node = stack.pop()
                 rest = node if rest is None else hashlib.sha256(b"\1" + node + rest).digest()
-            return pd.DataFrame({"part": [part], "documents": [documents], "ids": [ids], "root": [rest.hex()]})
+            return pd.DataFrame({"part": [part], "first": [first], "documents": [documents], "ids": [ids], "root": [rest.hex()]})
 
         for batch in batches:
-            for own, n, root in zip(batch["part"], batch["n"], batch["root"]):
-                if part is not None and own != part:
-                    yield close()
-                    documents = ids = 0
-                part, documents, ids = own, documents + 1, ids + int(n)
-                stack.append((0, hashlib.sha256(b"\0" + bytes(root)).digest()))
+            for own, start, n, root in zip(batch["part"], batch["start"], batch["n"], batch["root"]):
+                if own != part:
+                    if part is not None:
+                        yield close()
+                    part, first, documents, ids = own, int(start), 0, 0
+                documents, ids = documents + 1, ids + int(n)
+                stack.append((0, hashlib.sha256(b"\0" + int(start).to_bytes(8, "little") + bytes(root)).digest()))
                 while len(stack) > 1 and stack[-1][0] == stack[-2][0]:
                     (level, right), (_, left) = stack.pop(), stack.pop()
                     stack.append((level + 1, hashlib.sha256(b"\1" + left + right).digest()))
         if part is not None:
             yield close()
 
-    ordered = recipes.select("part", "position", "n", "root").repartition("part").sortWithinPartitions("part", "position")
-    return materialize(ordered.mapInPandas(run, "part int, documents long, ids long, root string"), "token-manifest")
+    ordered = recipes.select("part", "position", "start", "n", "root").repartition("part").sortWithinPartitions("part", "position")
+    return ordered.mapInPandas(run, "part int, first long, documents long, ids long, root string")
+
+
+def sound_parts(store: dict[str, DataFrame]) -> DataFrame:
+    """(part, kept) of every part of the manifest or the recipes: whether its recipes as read back are the listed ones."""
+    found = part_roots(store["recipes"]).withColumn("here", F.lit(True))
+    listed = store["manifest"].withColumn("listed", F.lit(True))
+    both = listed.join(found, ["part", "first", "documents", "ids", "root"], "full_outer")
+    return both.groupBy("part").agg(F.coalesce(F.bool_and(F.col("here").isNotNull() & F.col("listed").isNotNull()), F.lit(False)).alias("kept"))
 
 
 def _links(store: dict[str, DataFrame], chunk_columns: DataFrame) -> DataFrame:
@@ -374,14 +410,15 @@ def _links(store: dict[str, DataFrame], chunk_columns: DataFrame) -> DataFrame:
     joined = links.join(chunk_columns, "digest", "left")
     rest = [F.col(c) for c in chunk_columns.columns if c != "digest"]
     gathered = joined.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", *rest))).alias("pieces"))
-    return recipes.select("position", F.col("doc_id").cast("string").alias("doc_id"), "start", "n", "root", n_chunks.alias("n_chunks")).join(gathered, "position")
+    return recipes.select("part", "position", F.col("doc_id").cast("string").alias("doc_id"), "start", "n", "root", n_chunks.alias("n_chunks")).join(gathered, "position")
 
 
 def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
     """Read every chunk back, check its address, and rebuild each document's id checksum and Merkle root.
 
     The checksum of a document follows from those of its chunks (crc32 is linear), so that chunk bytes are
-    read once and stay where they are. A missing or altered chunk makes `verified` false."""
+    read once and stay where they are. A missing or altered chunk makes `verified` false, and so do recipes that
+    are not those of the manifest (see sound_parts)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kind = encoder(tokenizer_path).kind
@@ -393,17 +430,18 @@ def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, start, n, root, n_chunks, pieces in zip(*(batch[c] for c in ("doc_id", "start", "n", "root", "n_chunks", "pieces"))):
+            for doc_id, start, n, root, n_chunks, pieces, kept in zip(*(batch[c] for c in ("doc_id", "start", "n", "root", "n_chunks", "pieces", "kept"))):
                 whole = len(pieces) == n_chunks and all(p["crc"] is not None for p in pieces)
                 parts = [(int(p["crc"]), int(p["n"])) for p in pieces] if whole else []
                 found = merkle([bytes(p["digest"]) for p in pieces])
-                good = whole and found == bytes(root) and all(p["sound"] for p in pieces) and sum(k for _, k in parts) == n
+                good = kept and whole and found == bytes(root) and all(p["sound"] for p in pieces) and sum(k for _, k in parts) == n
                 rows.append((doc_id, start, n, join_crcs(parts) if whole else None, int(n_chunks), found.hex(), bool(good)))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "merkle_root", "verified"]).astype({"ids_crc32": "Int64"})
 
     checked = store["chunks"].mapInPandas(check, "digest binary, n long, crc long, sound boolean")
     schema = "doc_id string, start long, n_tokens long, ids_crc32 long, n_chunks long, merkle_root string, verified boolean"
-    return id_back(_links(store, checked).mapInPandas(rebuild, schema))
+    linked = _links(store, checked).join(F.broadcast(sound_parts(store)), "part")
+    return id_back(linked.mapInPandas(rebuild, schema))
 
 
 def reconstruct(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:

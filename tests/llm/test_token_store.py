@@ -24,6 +24,32 @@ def test_words_give_the_text_s_ids():
             assert got.tolist() == ids_of(text)[:-1], text
 
 
+def test_words_under_one_hash_keep_their_own_ids(monkeypatch):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    pair = [word, word.translate(str.maketrans("ab", "ba")), f"{word} x {word}."]
+    own = token_store.WordEncoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode_all(pair)] == [ids_of(x)[:-1] for x in pair]
+    real = token_store.span_hashes
+    monkeypatch.setattr(token_store, "span_hashes", lambda data, a, b: real(data, a, b) & np.uint64(0xFF))
+    own._forget()
+    crowd = ["the quick brown fox. don't, go. " + " ".join(f"w{i}x" for i in range(3000)), "the fox w7x w9x w2999x"]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode_all(crowd)] == [ids_of(x)[:-1] for x in crowd]
+
+
+def test_ids_of_a_whole_table_are_the_library_s():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    own = token_store.WordEncoder(PATH)
+    for at in range(0, len(texts), 500):
+        part = [x or "" for x in texts[at : at + 500]]
+        assert all(np.array_equal(a, b) for a, b in zip(own.encode_all(part), own.library(part)))
+
+
 def test_cuts_cover_the_stream_and_follow_the_content():
     rng = np.random.default_rng(1)
     table = token_store.gear(50_000)
@@ -64,6 +90,18 @@ def test_store_round_trip(nasty, none):
     assert token_store.verify_store(empty, PATH).count() == 0
 
 
+def test_lost_and_repeated_recipes_are_noticed(nasty):
+    store = token_store.build_store(nasty.where("doc_id >= 0"), PATH)
+    recipes = store["recipes"]
+    lost = dict(store, recipes=recipes.where("doc_id <> 8"))
+    hit = {r["part"] for r in recipes.where("doc_id = 8").collect()}
+    assert {r["part"] for r in token_store.sound_parts(lost).where("not kept").collect()} == hit
+    bad = {r["doc_id"] for r in token_store.verify_store(lost, PATH).where("not verified").collect()}
+    assert bad == {r["doc_id"] for r in recipes.collect() if r["part"] in hit and r["doc_id"] != 8}
+    again = dict(store, recipes=recipes.unionByName(recipes.where("doc_id = 0")))
+    assert not any(r["verified"] for r in token_store.verify_store(again, PATH).where("doc_id = 0").collect())
+
+
 def test_altered_chunks_are_noticed(nasty):
     from pyspark.sql import functions as F
 
