@@ -25,9 +25,12 @@ def ensure_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset. On a cluster, whose
+    executors share no local folder, an unset one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -59,6 +62,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables of `materialize` that nothing will read again (as the rounds of a loop)."""
+    for df in tables:
+        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,19 +9,24 @@ gathered in a task.
 
 Arguments are checked against a JSON schema for the call's name (type, required, properties,
 additionalProperties, enum, const, items, lengths, bounds, pattern). Canonical JSON has sorted keys, no
-blanks, and plain UTF-8.
-
-Defined results, as `status`: linked; no_result (a call without a result); no_call (a result without a
-call); duplicate_call (the identifier was called before in the conversation; the first call by turn and
-place gets the results); missing_ref (a reference to no call of the conversation); cycle (it waits for
-itself). A call with several results takes all, in order. Malformed JSON arguments give valid = false and
-the error `arguments: not JSON`; a call without a known schema has valid = null. Null texts are empty;
-null identifiers never link, and other identifiers than strings link by their canonical JSON text. Further columns are not read; empty tables give an empty result.
+blanks, and plain UTF-8. A result is a row of its own behind its call, so that no identifier's results are
+gathered, however many there are.
+
+Defined results, as `status`: linked; no_result (a call without a result); result (behind its call, with the
+call's name and level); no_call (a result without a call); duplicate_call (the identifier was called before in
+the conversation; the first call by turn and place gets the results, and repeated rows of it are first alike);
+missing_ref (a reference to no call of the conversation); cycle (it waits for itself). Arguments that are no
+JSON text of finite numbers and whole characters, or nested deeper than the JSON library reads and writes,
+give valid = false and the error `arguments: not JSON`, and a content of that kind is null; a call without a
+known schema has valid = null. Null texts are empty; null identifiers and calls of null conversations never
+link, and other identifiers than strings link by their canonical JSON text. Further columns are not read; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,12 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, shared_path
 
 CALL_BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 RESULT_BLOCK = re.compile(r"<tool_response>(.*?)</tool_response>", re.S)
-CALL_SCHEMA = "conv_id long, turn long, place int, call_id string, name string, arguments string"
-RESULT_SCHEMA = "conv_id long, turn long, place int, call_id string, content string"
+#: Conversations and turns travel as text: pandas turns whole numbers beside nulls into floats.
+CALL_SCHEMA = "conv_id string, turn string, place int, call_id string, name string, arguments string"
+RESULT_SCHEMA = "conv_id string, turn string, place int, call_id string, content string"
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 #: Schemas of the two calls that conversation turns are read as.
@@ -61,55 +67,77 @@ def _of_type(value: object, kind: str) -> bool:
     return isinstance(value, TYPES[kind]) if kind in TYPES else True
 
 
-def violations(value: object, schema: dict, at: str = "arguments") -> list[str]:
-    """What in a value breaks its schema, as `path: reason`, in the order of the value. A `$ref` object
-    stands for the result of another call and satisfies any type."""
-    if isinstance(value, dict) and set(value) == {"$ref"} and schema.get("required") != ["$ref"]:
-        return []
+def _own_violations(value: object, schema: dict) -> list[str]:
+    """What breaks a schema in a value itself, its parts aside."""
     out: list[str] = []
-    kinds = schema.get("type")
-    if kinds is not None and not any(_of_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: not {kinds if isinstance(kinds, str) else '|'.join(kinds)}"]
     if "const" in schema and canonical(value) != canonical(schema["const"]):
-        out.append(f"{at}: not the constant")
+        out.append("not the constant")
     if "enum" in schema and canonical(value) not in [canonical(x) for x in schema["enum"]]:
-        out.append(f"{at}: not in enum")
+        out.append("not in enum")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
-            out.append(f"{at}: too short")
+            out.append("too short")
         if len(value) > schema.get("maxLength", len(value)):
-            out.append(f"{at}: too long")
+            out.append("too long")
         if "pattern" in schema and not re.search(schema["pattern"], value):
-            out.append(f"{at}: pattern")
+            out.append("pattern")
     elif _of_type(value, "number"):
         if value < schema.get("minimum", value):
-            out.append(f"{at}: below minimum")
+            out.append("below minimum")
         if value > schema.get("maximum", value):
-            out.append(f"{at}: above maximum")
+            out.append("above maximum")
     elif isinstance(value, list):
         if len(value) < schema.get("minItems", 0):
-            out.append(f"{at}: too few")
+            out.append("too few")
         if len(value) > schema.get("maxItems", len(value)):
-            out.append(f"{at}: too many")
-        for k, x in enumerate(value):
-            out += violations(x, schema.get("items", {}), f"{at}[{k}]")
-    elif isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                out.append(f"{at}.{k}: unknown")
+            out.append("too many")
+    return out
+
+
+def _path(at: tuple) -> str:
+    """The path of (path ahead, step)."""
+    steps = []
+    while at:
+        at, step = at
+        steps.append(step)
+    return "".join(reversed(steps))
+
+
+def violations(value: object, schema: dict, at: str = "arguments") -> list[str]:
+    """What in a value breaks its schema, as `path: reason`, in the order of the value. A `$ref` object
+    stands for the result of another call and satisfies any type. Depth costs no recursion."""
+    out: list[str] = []
+    todo: list[tuple] = [(value, schema, ((), at))]
+    while todo:
+        value, schema, here = todo.pop()
+        if schema is None:  # a finding that waited for its turn
+            out.append(f"{_path(here)}: {value}")
+            continue
+        if isinstance(value, dict) and set(value) == {"$ref"} and schema.get("required") != ["$ref"]:
+            continue
+        kinds = schema.get("type")
+        if kinds is not None and not any(_of_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+            out.append(f"{_path(here)}: not {kinds if isinstance(kinds, str) else '|'.join(kinds)}")
+            continue
+        out += [f"{_path(here)}: {x}" for x in _own_violations(value, schema)]
+        parts: list[tuple] = []
+        if isinstance(value, list) and schema.get("items"):
+            parts = [(x, schema["items"], (here, f"[{k}]")) for k, x in enumerate(value)]
+        elif isinstance(value, dict):
+            known = schema.get("properties", {})
+            out += [f"{_path(here)}.{k}: missing" for k in schema.get("required", []) if k not in value]
+            for k in sorted(value):
+                if k in known:
+                    parts.append((value[k], known[k], (here, f".{k}")))
+                elif schema.get("additionalProperties", True) is False:
+                    parts.append(("unknown", None, (here, f".{k}")))
+        todo.extend(reversed(parts))
     return out
 
 
 def identifier(value: object) -> str | None:
-    """An identifier as text: a string as it is, another value but null by its canonical JSON, if it has one."""
-    try:
-        return value if value is None or isinstance(value, str) else canonical(value)
-    except ValueError:  # NaN or infinite
-        return None
+    """An identifier as text: a string as it is, another value but null by its canonical JSON."""
+    return value if value is None or isinstance(value, str) else canonical(value)
 
 
 def references(value: object) -> list[str]:
@@ -126,11 +154,40 @@ def references(value: object) -> list[str]:
     return sorted(found)
 
 
-def _json(text: str | None) -> tuple[object, bool]:
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("not finite")
+    return value
+
+
+def _json(text: str | None) -> tuple[object, str | None]:
+    """(value, canonical text) of a JSON text; the text is None for one that has no canonical form in UTF-8."""
     try:
-        return json.loads(text), True
-    except (TypeError, ValueError, RecursionError):
-        return None, False
+        value = json.loads(text, parse_constant=_finite, parse_float=_finite)
+        plain = canonical(value)
+        plain.encode()
+        return value, plain
+    except (TypeError, ValueError, RecursionError, MemoryError):  # UnicodeEncodeError is a ValueError
+        return None, None
+
+
+def _blocks(text: str, pattern: re.Pattern) -> Iterator[tuple[int, dict]]:
+    """(place, object) of a text's blocks; a block that is no JSON object is empty."""
+    for place, block in enumerate(pattern.findall(text)):
+        found, plain = _json(block)
+        yield place, found if plain is not None and isinstance(found, dict) else {}
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with conversation and turn as numbers again."""
+    return rows.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
+
+
+def _spoken(conversations: DataFrame, role: str, mark: str) -> DataFrame:
+    """(conv_id, turn, text), all as text, of a role's turns with a mark."""
+    found = conversations.where((F.col("role") == role) & F.contains("text", F.lit(mark)))
+    return found.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "text")
 
 
 def parse_calls(conversations: DataFrame) -> DataFrame:
@@ -140,15 +197,12 @@ def parse_calls(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turn, text in zip(batch["conv_id"], batch["turn"], batch["text"]):
-                for place, block in enumerate(CALL_BLOCK.findall(text)):
-                    found, ok = _json(block)
-                    found = found if ok and isinstance(found, dict) else {}
-                    own = found.get("id")
-                    rows.append((conv, turn, place, identifier(own), found.get("name") if isinstance(found.get("name"), str) else None, canonical(found["arguments"]) if "arguments" in found else None))
+                for place, found in _blocks(text, CALL_BLOCK):
+                    name = found.get("name")
+                    rows.append((conv, turn, place, identifier(found.get("id")), name if isinstance(name, str) else None, canonical(found["arguments"]) if "arguments" in found else None))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "call_id", "name", "arguments"])
 
-    marked = conversations.where("role = 'assistant' and contains(text, '<tool_call>')")
-    return marked.select("conv_id", "turn", "text").mapInPandas(run, CALL_SCHEMA)
+    return _keyed(_spoken(conversations, "assistant", "<tool_call>").mapInPandas(run, CALL_SCHEMA))
 
 
 def parse_results(conversations: DataFrame) -> DataFrame:
@@ -158,15 +212,11 @@ def parse_results(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turn, text in zip(batch["conv_id"], batch["turn"], batch["text"]):
-                for place, block in enumerate(RESULT_BLOCK.findall(text)):
-                    found, ok = _json(block)
-                    found = found if ok and isinstance(found, dict) else {}
-                    own = found.get("id")
-                    rows.append((conv, turn, place, identifier(own), canonical(found.get("content"))))
+                for place, found in _blocks(text, RESULT_BLOCK):
+                    rows.append((conv, turn, place, identifier(found.get("id")), canonical(found.get("content"))))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "place", "call_id", "content"])
 
-    marked = conversations.where("role = 'tool' and contains(text, '<tool_response>')")
-    return marked.select("conv_id", "turn", "text").mapInPandas(run, RESULT_SCHEMA)
+    return _keyed(_spoken(conversations, "tool", "<tool_response>").mapInPandas(run, RESULT_SCHEMA))
 
 
 def _identifier(turn: Column) -> Column:
@@ -197,40 +247,48 @@ def _checked(calls: DataFrame, schemas: dict) -> DataFrame:
         for batch in batches:
             rows = []
             for name, text in zip(batch["name"], batch["arguments"]):
-                value, ok = _json(text)
-                if not ok:
+                value, plain = _json(text)
+                if plain is None:
                     rows.append((None, [], False, "arguments: not JSON"))
                     continue
                 wrong = violations(value, schemas[name]) if name in schemas else None
-                rows.append((canonical(value), references(value), None if wrong is None else not wrong, "; ".join(wrong or [])))
+                rows.append((plain, references(value), None if wrong is None else not wrong, "; ".join(wrong or [])))
             found = pd.DataFrame(rows, columns=["canonical", "refs", "valid", "errors"], index=batch.index)
             yield pd.concat([batch.drop(columns=["arguments"]), found], axis=1)
 
-    schema = "conv_id long, turn long, place int, call_id string, name string, canonical string, refs array<string>, valid boolean, errors string"
-    return calls.select("conv_id", "turn", "place", "call_id", "name", "arguments").mapInPandas(run, schema)
+    schema = "conv_id string, turn string, place int, call_id string, name string, canonical string, refs array<string>, valid boolean, errors string"
+    keys = [F.col(c).cast("string").alias(c) for c in ("conv_id", "turn")]
+    return _keyed(calls.select(*keys, F.coalesce("place", F.lit(0)).alias("place"), "call_id", "name", "arguments").mapInPandas(run, schema))
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, missing) of calls (conv_id, call_id, refs) with unique identifiers; a null
-    level means that it waits for itself. One round of joins for each level of references."""
-    edges = materialize(calls.select("conv_id", "call_id", F.explode("refs").alias("ref")), "references")
+    level means that it waits for itself. One round of joins for each level of references; the rounds append to
+    one table, so that the plan of a round does not grow with their number."""
+    spark, keys = calls.sparkSession, ["conv_id", "call_id"]
+    edges = materialize(calls.select(*keys, F.explode("refs").alias("ref")), "references")
     known = calls.select("conv_id", F.col("call_id").alias("ref")).join(edges.select("conv_id", "ref").distinct(), ["conv_id", "ref"])
     real = materialize(edges.join(known, ["conv_id", "ref"]), "references")
-    lost = edges.join(known, ["conv_id", "ref"], "left_anti").select("conv_id", "call_id").distinct().withColumn("missing", F.lit(True))
-    waiting = real.select("conv_id", "call_id").distinct()
-    settled = real.select("conv_id", F.col("ref").alias("call_id")).distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    settled, waiting = materialize(settled, "levels"), materialize(waiting, "waiting")
+    lost = edges.join(known, ["conv_id", "ref"], "left_anti").select(*keys).distinct().withColumn("missing", F.lit(True))
+    waiting = materialize(real.select(*keys).distinct(), "waiting")
+    path = shared_path(spark, "levels")
+    first = real.select("conv_id", F.col("ref").alias("call_id")).distinct().join(waiting, keys, "left_anti").withColumn("level", F.lit(0))
+    first.write.parquet(path)
     while not waiting.isEmpty():
-        links = real.join(waiting, ["conv_id", "call_id"]).join(settled.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
-        ready = links.groupBy("conv_id", "call_id").agg(F.max("level").alias("high"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
-        ready = materialize(ready.select("conv_id", "call_id", (F.col("high") + 1).alias("level")), "levels")
+        settled = spark.read.schema(first.schema).parquet(path)
+        links = real.join(waiting, keys).join(settled.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left")
+        ready = links.groupBy(*keys).agg(F.max("level").alias("high"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
+        ready = materialize(ready.select(*keys, (F.col("high") + 1).alias("level")), "ready")
         if ready.isEmpty():
             break
-        settled = settled.unionByName(ready)
-        waiting = materialize(waiting.join(ready, ["conv_id", "call_id"], "left_anti"), "waiting")
+        ready.write.mode("append").parquet(path)
+        after = materialize(waiting.join(ready, keys, "left_anti"), "waiting")
+        release(waiting, ready)
+        waiting = after
+    settled = spark.read.schema(first.schema).parquet(path)
     stuck = waiting.withColumn("stuck", F.lit(True))
-    out = calls.select("conv_id", "call_id").join(settled, ["conv_id", "call_id"], "left").join(stuck, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left")
-    return out.select("conv_id", "call_id", F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("missing", F.lit(False)).alias("missing"))
+    out = calls.select(*keys).join(settled, keys, "left").join(stuck, keys, "left").join(lost, keys, "left")
+    return out.select(*keys, F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -247,53 +305,65 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """One row a call and one a result without a call:
+    """One row a call and one a result:
     (conv_id, position, call_id, name, turn, status, level, valid, errors, n_results, message)."""
+    keys = ["conv_id", "call_id"]
+    named = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
     checked = _checked(calls, schemas)
     ident = F.sha2(F.concat_ws("\0", F.coalesce("canonical", F.lit("")), F.coalesce("name", F.lit(""))), 256)
     checked = materialize(checked.withColumn("tie", ident), "calls")
     # The first call of an identifier; aggregates, so that a repeated identifier is not gathered.
-    first = checked.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "tie")).alias("first"))
-    marked = checked.join(first, ["conv_id", "call_id"], "left").withColumn("first", (F.col("first") == F.struct("turn", "place", "tie")))
-    marked = materialize(marked.withColumn("first", F.coalesce("first", F.lit(False)) | F.col("call_id").isNull()), "calls")
-    owners = marked.where("first and call_id is not null").select("conv_id", "call_id", "refs").dropDuplicates(["conv_id", "call_id"])
-    level = levels(owners)
-    gathered = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "content"))).alias("got"))
-    joined = marked.join(level, ["conv_id", "call_id"], "left").join(gathered, ["conv_id", "call_id"], "left")
-    got = F.when(F.col("first"), F.col("got"))
-    n = F.coalesce(F.size(got), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
-    status = (
-        F.when(~F.col("first"), "duplicate_call").when(F.col("missing"), "missing_ref").when(F.col("call_id").isNotNull() & F.col("level").isNull(), "cycle").when(n > 0, "linked").otherwise("no_result")
-    )
+    here = F.struct("turn", "place", "tie")
+    firsts = checked.where(named).groupBy(*keys).agg(F.min(here).alias("least"))
+    marked = checked.join(firsts, keys, "left").withColumn("first", F.coalesce(F.col("least") == here, F.lit(True)))
+    marked = materialize(marked.drop("least"), "calls")
+    owners = marked.where(F.col("first") & named).select(*keys, "name", "turn", "place", "tie", "refs").dropDuplicates(keys)
+    owners = materialize(owners, "owners")
+    level = materialize(levels(owners.select(*keys, "refs")), "call-levels")
+    said = results.select(*keys, "turn", F.coalesce("place", F.lit(0)).alias("place"), "content")
+    counts = said.where(named).groupBy(*keys).agg(F.count("*").alias("n"))
+    joined = marked.join(level, keys, "left").join(counts, keys, "left")
+    n = F.when(F.col("first"), F.coalesce("n", F.lit(0))).otherwise(0)
+    status = F.when(~F.col("first"), "duplicate_call").when(F.col("missing"), "missing_ref").when(named & F.col("level").isNull(), "cycle").when(n > 0, "linked").otherwise("no_result")
     called = joined.select(
-        "conv_id", "call_id", "name", "turn", "place", status.alias("status"), "level", "valid", "errors", n.cast("long").alias("n_results"), "canonical",
-        F.transform(got, lambda x: x["content"]).alias("contents"), "tie",
+        *keys, "name", "turn", status.alias("status"), "level", "valid", "errors", n.cast("long").alias("n_results"), "canonical", F.lit(None).cast("string").alias("content"),
+        F.lit(0).alias("kind"), F.col("turn").alias("call_turn"), "place", "tie",
     )
-    known = owners.select("conv_id", "call_id")
-    lonely = results.join(known, ["conv_id", "call_id"], "left_anti").select(
-        "conv_id", "call_id", F.lit(None).cast("string").alias("name"), "turn", "place", F.lit("no_call").alias("status"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("valid"),
-        F.lit("").alias("errors"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("string").alias("canonical"), F.array("content").alias("contents"), F.sha2("content", 256).alias("tie"),
+    # A result stands behind its call, which lends it its place in the order; one without a call stands for itself.
+    asked = owners.join(level, keys).select(*keys, "name", "level", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"), F.col("tie").alias("call_tie"), F.lit(True).alias("met"))
+    told = said.join(asked, keys, "left")
+    own = F.sha2(F.coalesce("content", F.lit("")), 256)
+    heard = told.select(
+        *keys, "name", "turn", F.when(F.col("met"), "result").otherwise("no_call").alias("status"), "level", F.lit(None).cast("boolean").alias("valid"), F.lit("").alias("errors"),
+        F.when(F.col("met"), 0).otherwise(1).cast("long").alias("n_results"), F.lit(None).cast("string").alias("canonical"), "content", F.when(F.col("met"), 1).otherwise(0).alias("kind"),
+        F.when(F.col("met"), F.col("call_turn")).otherwise(F.col("turn")).alias("call_turn"), F.when(F.col("met"), F.col("call_place")).otherwise(F.col("place")).alias("place"),
+        F.when(F.col("met"), F.col("call_tie")).otherwise(own).alias("tie"), F.col("place").alias("own_place"), own.alias("own_tie"),
     )
-    rows = numbered(called.unionByName(lonely).withColumn("last", F.col("level").isNull() & (F.col("status") == "cycle")), ["last", "level", "turn", "place", "status", "call_id", "tie"])
+    rows = called.withColumn("own_place", F.lit(0)).withColumn("own_tie", F.lit("")).unionByName(heard)
+    # Calls that wait for themselves, and their results, come last.
+    stuck = F.col("level").isNull() & ((F.col("status") == "cycle") | (F.col("status") == "result"))
+    order = ["last", "level", "call_turn", "place", "call_id", "tie", "kind", "turn", "own_place", "own_tie", "status"]
+    rows = numbered(rows.withColumn("last", stuck), order)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for call_id, name, text, contents in zip(batch["call_id"], batch["name"], batch["canonical"], batch["contents"]):
-                message: dict = {"id": call_id if isinstance(call_id, str) else None}
+            for call_id, name, text, content, status in zip(batch["call_id"], batch["name"], batch["canonical"], batch["content"], batch["status"]):
+                # Keys in order around texts that are canonical already.
+                fields = ['"arguments":' + text] if isinstance(text, str) else []
+                if status in ("result", "no_call"):
+                    fields.append('"content":' + (_json(content)[1] or "null"))
+                fields.append('"id":' + canonical(call_id if isinstance(call_id, str) else None))
                 if isinstance(name, str):
-                    message["name"] = name
-                if isinstance(text, str):
-                    message["arguments"] = json.loads(text)
-                if contents is not None:
-                    message["results"] = [_json(x)[0] for x in contents]
-                out.append(canonical(message))
-            yield batch.drop(columns=["canonical", "contents"]).assign(message=out, level=batch["level"].astype("Int32"), valid=batch["valid"].astype("boolean"))
-
-    columns = ["conv_id", "position", "call_id", "name", "turn", "status", "level", "valid", "errors", "n_results", "canonical", "contents"]
-    schema = "conv_id long, position long, call_id string, name string, turn long, status string, level int, valid boolean, errors string, n_results long, message string"
-    return rows.select(*columns).mapInPandas(write, schema)
+                    fields.append('"name":' + canonical(name))
+                out.append("{" + ",".join(fields) + "}")
+            yield batch.drop(columns=["canonical", "content"]).assign(message=out, level=batch["level"].astype("Int32"), valid=batch["valid"].astype("boolean"))
+
+    texts = [F.col(c).cast("string").alias(c) for c in ("conv_id", "turn")]
+    columns = ["position", "call_id", "name", "status", "level", "valid", "errors", "n_results", "canonical", "content"]
+    schema = "conv_id string, turn string, position long, call_id string, name string, status string, level int, valid boolean, errors string, n_results long, message string"
+    written = _keyed(rows.select(*texts, *columns).mapInPandas(write, schema))
+    return written.select("conv_id", "position", "call_id", "name", "turn", "status", "level", "valid", "errors", "n_results", "message")
 
 
 def link_conversations(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
