@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a local folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+    """A new folder in spark.checkpoint.dir, which all executors share; a local one where that is unset, which
+    is an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     return f"{root.rstrip('/')}/corpusloom/{uuid.uuid4().hex}"
 
 
