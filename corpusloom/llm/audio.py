@@ -1,6 +1,9 @@
 """Telephony audio columns: G.711 expansion, IMA ADPCM block decoding, resampled PCM storage.
 
-The 8-bit stored form is a RIFF/WAVE container with mu-law samples (format tag 7, 8 kHz, mono).
+The 8-bit stored form is a RIFF/WAVE container with mu-law samples (format tag 7, 8 kHz, mono). Beside it the
+table holds its PCM at PCM_RATE, 16 bits a sample, in a lifted form: the even samples as they are, and the odd
+ones less what the resampling filter makes of the even ones around them. That loses nothing of any PCM; of PCM
+that this filter doubled, the second part is zeros, which the table's compression makes small.
 
 Defined results: a null or empty text is the payload of 64 zero bytes; equal texts give equal media;
 repeated rows each give a row; other columns of the input are not read, so their names cannot clash;
@@ -15,6 +18,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,11 @@ RATE = 8000
 PCM_RATE = 16000
 #: Blocks decoded at once, across documents.
 CHUNK_BLOCKS = 1 << 15
+#: Bytes of media and PCM that a task hands on at once.
+FRAME_BYTES = 8 << 20
 #: Taps on each side of the resampling filter.
 HALF = 5
+TAP_BITS = 14
 
 # Fixed values of the IMA ADPCM standard: quantiser steps and index changes.
 IMA_STEPS = np.array(
@@ -101,35 +108,49 @@ def decode_ima(data: bytes | np.ndarray, block: int = PAD) -> np.ndarray:
     return out.T
 
 
+@lru_cache(maxsize=8)
 def _kernel(up: int, down: int) -> np.ndarray:
-    """Windowed-sinc filter, one row of 2*HALF taps for each phase."""
+    """Windowed-sinc filter, one row of 2*HALF taps for each phase, in units of 2**-TAP_BITS that add up to 1."""
     cut = min(1.0, up / down)
     offset = np.arange(-HALF + 1, HALF + 1)[None, :] - np.arange(up)[:, None] / up
     taps = np.sinc(offset * cut) * cut * np.cos(np.pi * offset / (2 * HALF)) ** 2
-    return taps / taps.sum(axis=1, keepdims=True)
+    whole = np.rint(taps / taps.sum(axis=1, keepdims=True) * (1 << TAP_BITS)).astype(np.int32)
+    whole[np.arange(up), np.abs(whole).argmax(axis=1)] += (1 << TAP_BITS) - whole.sum(axis=1)
+    return whole
+
+
+def _rounded(total: np.ndarray) -> np.ndarray:
+    return np.clip((total + (1 << TAP_BITS - 1)) >> TAP_BITS, -32768, 32767).astype(np.int16)
+
+
+def _phase(pcm: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The filter's output of one phase behind each sample."""
+    padded = np.concatenate([np.zeros(HALF - 1, np.int32), pcm.astype(np.int32), np.zeros(HALF, np.int32)])
+    total = np.zeros(len(pcm), np.int32)
+    for k, tap in enumerate(taps):
+        if tap:
+            total += tap * padded[k : k + len(pcm)]
+    return _rounded(total)
 
 
 def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Resample 16-bit PCM by a polyphase windowed-sinc filter; the length is ceil(n * target / source)."""
+    """Resample 16-bit PCM by a polyphase windowed-sinc filter in whole numbers, so that every machine gives the
+    same samples; the length is ceil(n * target / source)."""
     if source == target or not len(pcm):
         return pcm.astype(np.int16)
     common = math.gcd(source, target)
     up, down = target // common, source // common
-    kernel = _kernel(up, down).astype(np.float32)
-    n = -(-len(pcm) * up // down)
-    padded = np.concatenate([np.zeros(HALF - 1, np.float32), pcm.astype(np.float32), np.zeros(HALF + 1, np.float32)])
+    kernel = _kernel(up, down)
     if down == 1 and up <= 8:
-        out = np.empty((len(pcm), up), np.float32)
-        for phase in range(up):
-            out[:, phase] = np.convolve(padded, kernel[phase][::-1], "valid")[: len(pcm)]
-        out = out.ravel()
-    else:
-        at = np.arange(n, dtype=np.int64) * down
-        base, phase = at // up, at % up
-        out = np.zeros(n, np.float32)
-        for tap in range(2 * HALF):
-            out += kernel[phase, tap] * padded[base + tap]
-    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
+        return np.stack([_phase(pcm, kernel[phase]) for phase in range(up)], axis=1).ravel()
+    n = -(-len(pcm) * up // down)
+    padded = np.concatenate([np.zeros(HALF - 1, np.int32), pcm.astype(np.int32), np.zeros(HALF + 1, np.int32)])
+    at = np.arange(n, dtype=np.int64) * down
+    base, phase = at // up, at % up
+    total = np.zeros(n, np.int32)
+    for tap in range(2 * HALF):
+        total += kernel[phase, tap] * padded[base + tap]
+    return _rounded(total)
 
 
 def wav(tag: int, data: bytes, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
@@ -181,48 +202,89 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(data), data + b"\0" * (max(PAD, -(-len(data) // PAD) * PAD) - len(data))
 
 
-def store_texts(docs: DataFrame, label: str = "telephony") -> DataFrame:
-    """Write (doc_id, n_bytes, media) to the shared folder, media being the mu-law file of the text's
-    payload, and return the table as read back."""
+def _between(even: np.ndarray) -> np.ndarray:
+    """What the filter puts behind each of these samples when it doubles their rate."""
+    return _phase(even, _kernel(2, 1)[1])
+
+
+def lift(pcm: np.ndarray) -> tuple[bytes, bytes]:
+    """(even samples, odd samples less their prediction modulo 2**16) of 16-bit PCM, little-endian."""
+    even = pcm[::2].astype("<i2")
+    odd = pcm[1::2].astype(np.int16).view(np.uint16) - _between(even)[: len(pcm) // 2].view(np.uint16)
+    return even.tobytes(), odd.astype("<u2").tobytes()
+
+
+def unlift(even: bytes, odd: bytes) -> np.ndarray:
+    """The PCM of its lifted form."""
+    first, rest = np.frombuffer(even, "<i2"), np.frombuffer(odd, "<u2")
+    out = np.empty(len(first) + len(rest), np.int16)
+    out[::2] = first
+    out[1::2] = (rest + _between(first)[: len(rest)].view(np.uint16)).view(np.int16)
+    return out
+
+
+MEDIA_SCHEMA = "doc_id string, n_bytes long, media binary, pcm_rate int, pcm_even binary, pcm_odd binary"
+
+
+def _media_rows(files: Iterator[tuple[str | None, int | None, bytes | None]], rate: int) -> Iterator[pd.DataFrame]:
+    """Rows of the media table for (doc_id, n_bytes, file), in frames of about FRAME_BYTES."""
+    rows, size = [], 0
+    for doc_id, n, file in files:
+        even, odd = lift(to_pcm(file, rate)) if file is not None else (None, None)
+        rows.append((doc_id, n, file, rate, even, odd))
+        size += len(file or b"") + 2 * len(even or b"")
+        if size >= FRAME_BYTES:
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media", "pcm_rate", "pcm_even", "pcm_odd"])
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media", "pcm_rate", "pcm_even", "pcm_odd"])
+
+
+def store_texts(docs: DataFrame, rate: int = PCM_RATE, label: str = "telephony") -> DataFrame:
+    """Write (doc_id, n_bytes, media, pcm_rate, pcm_even, pcm_odd) to the shared folder, media being the mu-law file
+    of the text's payload and the rest its resampled PCM, and return the table as read back."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [payload(x) for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in rows], "media": [wav(7, x) for _, x in rows]})
+            payloads = ((i, *payload(x)) for i, x in zip(batch["doc_id"], batch["text"]))
+            yield from _media_rows(((i, n, wav(7, x)) for i, n, x in payloads), rate)
 
-    packed = text_rows(docs).mapInPandas(pack, "doc_id string, n_bytes long, media binary")
-    return materialize(id_back(packed), label)
+    return materialize(id_back(text_rows(docs).mapInPandas(pack, MEDIA_SCHEMA)), label)
 
 
 def store_pcm(media: DataFrame, rate: int = PCM_RATE, label: str = "pcm") -> DataFrame:
-    """Write (doc_id, pcm) to the shared folder, pcm being a 16-bit PCM file resampled to `rate`."""
+    """Write the files of (doc_id, media), mu-law, A-law, ADPCM or PCM by their format tags, with their PCM at
+    `rate` to the shared folder, in the columns of store_texts; n_bytes is null."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            files = [None if x is None else wav(1, to_pcm(bytes(x), rate).astype("<i2").tobytes(), rate, 16, 2) for x in batch["media"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "pcm": files})
+            files = ((i, None, None if x is None else bytes(x)) for i, x in zip(batch["doc_id"], batch["media"]))
+            for rows in _media_rows(files, rate):
+                yield rows.astype({"n_bytes": "Int64"})
 
-    rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "media").mapInPandas(convert, "doc_id string, pcm binary")
+    rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "media").mapInPandas(convert, MEDIA_SCHEMA)
     return materialize(id_back(rows), label)
 
 
-def describe(data: bytes, adpcm: np.ndarray) -> str:
-    """Loudness, peak, sign changes and checksums of the mu-law, A-law, ADPCM and resampled readings."""
+def describe(data: bytes, adpcm: np.ndarray, stored: np.ndarray) -> str:
+    """Loudness, peak and sign changes of the mu-law samples, and checksums of the bytes read as A-law and as ADPCM
+    blocks, and of the stored PCM."""
     pcm = expand_mulaw(data)
     wide = pcm.astype(np.int64)
     rms = math.isqrt(int((wide * wide).sum()) // len(wide))
     turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    sums = (zlib.crc32(x.astype("<i2").tobytes()) for x in (expand_alaw(data), adpcm, resample(pcm, RATE, PCM_RATE)))
-    return f"rms={rms};peak={int(np.abs(wide).max())};turns={turns};" + ";".join(f"{k}={v:08x}" for k, v in zip(("alaw", "ima", "pcm16k"), sums))
+    sums = (zlib.crc32(x.astype("<i2").tobytes()) for x in (expand_alaw(data), adpcm, stored))
+    return f"rms={rms};peak={int(np.abs(wide).max())};turns={turns};" + ";".join(f"{k}={v:08x}" for k, v in zip(("alaw", "ima", "pcm"), sums))
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media, from the bytes read back. A null media is an error."""
+    """Digests and features of stored media and PCM, from the bytes read back. A null media is an error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             files = [bytes(x) for x in batch["media"]]
             data = [unwav(x)[3] for x in files]
+            stored = [unlift(bytes(x), bytes(y)) for x, y in zip(batch["pcm_even"], batch["pcm_odd"])]
             rows, start = [], 0
             while start < len(data):  # documents are decoded together, up to a bounded number of blocks
                 end, blocks = start, 0
@@ -233,8 +295,8 @@ def media_features(media: DataFrame) -> DataFrame:
                 step = PAD * CHUNK_BLOCKS
                 decoded = [decode_ima(joined[i : i + step]) for i in range(0, joined.size, step)]
                 decoded = decoded[0] if len(decoded) == 1 else np.concatenate(decoded)
-                for x in data[start:end]:
-                    rows.append(describe(x, decoded[at : at + len(x) // PAD].ravel()))
+                for x, pcm in zip(data[start:end], stored[start:end]):
+                    rows.append(describe(x, decoded[at : at + len(x) // PAD].ravel(), pcm))
                     at += len(x) // PAD
                 start = end
             yield pd.DataFrame(
@@ -246,4 +308,4 @@ def media_features(media: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return id_back(media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media").mapInPandas(read, schema))
+    return id_back(media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media", "pcm_even", "pcm_odd").mapInPandas(read, schema))

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import struct
 import zlib
 
 import numpy as np
@@ -83,7 +85,59 @@ def test_contract_against_plain_python(nasty, none):
     assert audio.media_features(audio.store_texts(none)).count() == 0
 
 
+def slow_alaw(b):
+    b ^= 0x55
+    size, segment = (b & 15) * 16 + 8, b >> 4 & 7
+    size = size if segment == 0 else (size + 256) << segment - 1
+    return size if b & 128 else -size
+
+
+def slow_double(pcm):
+    """Twice the rate: each sample, and what ten samples around say lies behind it."""
+    taps = [round(float(x)) for x in audio._kernel(2, 1)[1]]
+    out = []
+    for k, x in enumerate(pcm):
+        near = [pcm[j] if 0 <= j < len(pcm) else 0 for j in range(k - audio.HALF + 1, k + audio.HALF + 1)]
+        out += [x, max(-32768, min(32767, sum(a * b for a, b in zip(taps, near)) + (1 << audio.TAP_BITS - 1) >> audio.TAP_BITS))]
+    return out
+
+
+def test_features_against_plain_python(nasty):
+    few = nasty.where("doc_id in (0, 4, 5, 8, 10, 12)").dropDuplicates(["doc_id"])
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    for r in audio.media_features(audio.store_texts(few)).collect():
+        data = audio.payload(texts[r["doc_id"]])[1]
+        pcm = [slow_mulaw(b) for b in data]
+        rms, peak = math.isqrt(sum(x * x for x in pcm) // len(pcm)), max(map(abs, pcm))
+        turns = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+        ima = [v for i in range(0, len(data), 64) for v in slow_ima(data[i : i + 64])]
+        crc = lambda x: f"{zlib.crc32(struct.pack(f'<{len(x)}h', *x)):08x}"
+        want = f"rms={rms};peak={peak};turns={turns};alaw={crc([slow_alaw(b) for b in data])};ima={crc(ima)};pcm={crc(slow_double(pcm))}"
+        assert r["feature"] == want
+
+
 def test_stored_pcm_is_the_resampled_expansion(nasty):
     media = audio.store_texts(nasty.where("doc_id = 10"))
-    tag, rate, _, data = audio.unwav(bytes(audio.store_pcm(media).first()["pcm"]))
-    assert (tag, rate) == (1, 16000) and np.frombuffer(data, "<i2").tolist() == audio.resample(audio.expand_mulaw(audio.payload("a b c")[1]), 8000, 16000).tolist()
+    want = audio.resample(audio.expand_mulaw(audio.payload("a b c")[1]), 8000, 16000).tolist()
+    for row in (media.first(), audio.store_pcm(media).first()):
+        assert row["pcm_rate"] == 16000 and audio.unlift(bytes(row["pcm_even"]), bytes(row["pcm_odd"])).tolist() == want
+        assert not any(row["pcm_odd"])
+    assert want == slow_double([slow_mulaw(b) for b in audio.payload("a b c")[1]])
+
+
+def test_all_formats_are_stored_at_one_rate(spark):
+    rng = np.random.default_rng(3)
+    files = [audio.wav(7, rng.bytes(64)), audio.wav(6, rng.bytes(63)), audio.wav(17, rng.bytes(128), align=64), audio.wav(1, rng.bytes(500), 11025, 16, 2), None]
+    frame = spark.createDataFrame([(2**60 + k, x, "clash") for k, x in enumerate(files)], "doc_id long, media binary, pcm_rate string")
+    got = {r["doc_id"] - 2**60: r for r in audio.store_pcm(frame).collect()}
+    assert len(got) == len(files) and got[4]["pcm_even"] is None
+    for k, file in enumerate(files[:4]):
+        assert audio.unlift(bytes(got[k]["pcm_even"]), bytes(got[k]["pcm_odd"])).tolist() == audio.to_pcm(file, 16000).tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 999])
+def test_lifting_loses_nothing(n):
+    pcm = np.random.default_rng(n).integers(-32768, 32768, n).astype(np.int16)
+    assert audio.unlift(*audio.lift(pcm)).tolist() == pcm.tolist()
+    pcm = np.where(np.arange(n) % 3 == 0, 32767, -32768).astype(np.int16)
+    assert audio.unlift(*audio.lift(pcm)).tolist() == pcm.tolist()
