@@ -41,12 +41,20 @@ MEMORY_WORDS = 2_000_000
 SEEN_CHUNKS = 200_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_STRANGE = np.ones(256, bool)
+_STRANGE[ord("a") : ord("z") + 1] = False
 _SOLID = np.ones(256, bool)
 _SOLID[[ord(" "), ord("\n")]] = False
 #: Bytes of the staged store for each recipe part.
 PART_BYTES = 64 << 20
 
 
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of data, `size` from each start, one behind the other."""
+    total = np.cumsum(size)
+    return data[np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+
+
 class WordEncoder:
     """A tokenizer file of the tokenizers library, with a bounded memory of words.
 
@@ -90,19 +98,12 @@ class WordEncoder:
         """The ids of texts, by the library alone."""
         return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words. Words of letters alone are one pre-token each: they are encoded as one text, and
-        the vocabulary's word ends part its ids; the others are encoded one by one."""
-        plain = [w for w in words if w.isalpha()]
-        out: dict[str, np.ndarray] = {}
-        if plain:
-            ids = self.library([" ".join(plain)])[0]
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(plain):
-                out = dict(zip(plain, np.split(ids, ends[:-1])))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.library(rest)))
-        return [out[w] for w in words]
+    def together(self, text: str, count: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids of each word) of `count` words of letters alone, parted by blanks: each is one
+        pre-token, and the vocabulary's word ends part the ids. None if they do not."""
+        ids = self.library([text])[0]
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == count else None
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -134,25 +135,48 @@ class WordEncoder:
             todo = todo[left[todo]]
             at[todo] = at[todo] + 1 & mask
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Enter words (spans of data) under their distinct hashes."""
         known = len(self.offset) - 1
-        if 2 * (known + len(words)) > len(self.slots):
+        if 2 * (known + len(hashes)) > len(self.slots):
             old = self.slots != 0
             kept, entries = self.slots[old], self.entry[old]
-            size = 1 << (4 * (known + len(words))).bit_length()
+            size = 1 << (4 * (known + len(hashes))).bit_length()
             self.slots, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._enter(kept, entries)
-        self._enter(hashes, self._keep(words))
-
-    def _keep(self, words: list[str]) -> np.ndarray:
-        """New entries for words."""
-        known = len(self.offset) - 1
-        ids, raw = self.encode_words(words), [x.encode("utf-8", "surrogatepass") for x in words]
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(x) for x in ids])])
-        self.pool = np.concatenate([self.pool, *ids])
-        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum([len(x) for x in raw])])
-        self.letters = np.concatenate([self.letters[:-8], np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8)])
-        return np.arange(known, known + len(words), dtype=np.int32)
+        self._enter(hashes, self._keep(data, start, end))
+
+    def _keep(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """New entries for words (spans of data)."""
+        strange = np.append(0, np.cumsum(_STRANGE[data]))
+        plain = strange[end] == strange[start]
+        rest = [bytes(data[a:b]).decode("utf-8", "surrogatepass") for a, b in zip(start[~plain].tolist(), end[~plain].tolist())]
+        alike = np.array([x.isalpha() for x in rest], bool)
+        groups = [np.flatnonzero(plain), np.flatnonzero(~plain)[alike]]
+        order, apart, pools, sizes = [], [np.flatnonzero(~plain)[~alike]], [], []
+        single = [x for x, a in zip(rest, alike.tolist()) if not a]
+        for group in groups:
+            size = end[group] - start[group] + 1
+            text = _gather(data, start[group], size)
+            text[np.cumsum(size) - 1] = 32
+            found = self.together(bytes(text).decode("utf-8", "surrogatepass"), len(group)) if len(group) else None
+            if found:
+                order.append(group)
+                pools.append(found[0])
+                sizes.append(found[1])
+            else:
+                apart.append(group)
+                single += [bytes(data[a:b]).decode("utf-8", "surrogatepass") for a, b in zip(start[group].tolist(), end[group].tolist())]
+        own = self.library(single)
+        at = np.concatenate([*order, *apart])
+        known, width = len(self.offset) - 1, (end - start)[at]
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.concatenate([*sizes, [len(x) for x in own]]).astype(np.int64))])
+        self.pool = np.concatenate([self.pool, *pools, *own])
+        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum(width)])
+        self.letters = np.concatenate([self.letters[:-8], _gather(data, start[at], width), np.zeros(8, np.uint8)])
+        entries = np.empty(len(at), np.int32)
+        entries[at] = np.arange(known, known + len(at), dtype=np.int32)
+        return entries
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
@@ -172,11 +196,6 @@ class WordEncoder:
         close = np.empty(len(first), np.int64)
         first[place], close[place] = start, end - marked
         first[place[marked] + 1], close[place[marked] + 1] = end[marked] - 1, end[marked]
-
-        def spell(at: np.ndarray) -> list[str]:
-            plain = data.tobytes()
-            return [plain[a:b].decode("utf-8", "surrogatepass") for a, b in zip(first[at].tolist(), close[at].tolist())]
-
         hashes = span_hashes(data, first, close) | np.uint64(1)
         found = self._find(hashes)
         if (found < 0).any():
@@ -186,19 +205,17 @@ class WordEncoder:
                 self._forget()
                 fresh, at = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
-            self._learn(fresh, spell(missing[at]))
+            self._learn(fresh, data, first[missing[at]], close[missing[at]])
             found = self._find(hashes)
         width = close - first
         same = self.spelt[found + 1] - self.spelt[found] == width
         same[same] = equal_spans(loads(data), first[same], padded_loads(self.letters), self.spelt[found[same]], width[same])
         if not same.all():
             other = np.flatnonzero(~same)
-            words, which = np.unique(np.array(spell(other), object), return_inverse=True)
-            found[other] = self._keep(words.tolist())[which]
+            found[other] = self._keep(data, first[other], close[other])
         low = self.offset[found]
         size = self.offset[found + 1] - low
-        total = np.cumsum(size)
-        ids = self.pool[np.repeat(low - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+        ids, total = _gather(self.pool, low, size), np.cumsum(size)
         bounds = np.cumsum([1, *(len(x) + 1 for x in raw)])
         words = np.searchsorted(first, bounds)
         total = np.append(0, total)
