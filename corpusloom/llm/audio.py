@@ -33,7 +33,9 @@ PCM_RATE = 16000
 #: Blocks decoded at once, across documents.
 CHUNK_BLOCKS = 1 << 15
 #: Bytes of media and PCM that a task hands on at once.
-FRAME_BYTES = 8 << 20
+FRAME_BYTES = 2 << 20
+#: Compression of the media table.
+LEVEL = 9
 #: Taps on each side of the resampling filter.
 HALF = 5
 TAP_BITS = 14
@@ -249,7 +251,7 @@ def store_texts(docs: DataFrame, rate: int = PCM_RATE, label: str = "telephony")
             payloads = ((i, *payload(x)) for i, x in zip(batch["doc_id"], batch["text"]))
             yield from _media_rows(((i, n, wav(7, x)) for i, n, x in payloads), rate)
 
-    return materialize(id_back(text_rows(docs).mapInPandas(pack, MEDIA_SCHEMA)), label)
+    return materialize(id_back(text_rows(docs).mapInPandas(pack, MEDIA_SCHEMA)), label, level=LEVEL)
 
 
 def store_pcm(media: DataFrame, rate: int = PCM_RATE, label: str = "pcm") -> DataFrame:
@@ -263,7 +265,7 @@ def store_pcm(media: DataFrame, rate: int = PCM_RATE, label: str = "pcm") -> Dat
                 yield rows.astype({"n_bytes": "Int64"})
 
     rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "media").mapInPandas(convert, MEDIA_SCHEMA)
-    return materialize(id_back(rows), label)
+    return materialize(id_back(rows), label, level=LEVEL)
 
 
 def describe(data: bytes, adpcm: np.ndarray, stored: np.ndarray) -> str:

@@ -41,10 +41,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
     """Write df to the shared folder and read it back: the plan restarts from files that outlive executors."""
     path = shared_path(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
