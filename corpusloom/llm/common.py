@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with whole texts this keeps a Python worker's batch at a few MB.
 ARROW_ROWS = 256
+#: A key is hot that has more rows than this and than an eighth of what a partition gets on average.
+HOT_ROWS = 512
 #: Rows of a table of ids that may be sent to every executor (about 32 MB).
 BROADCAST_IDS = 2_000_000
 
@@ -83,6 +85,26 @@ def id_back(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def hot_keys(rows: DataFrame, key: str, total: int) -> list[tuple[object, int]]:
+    """(key, number of parts) of the hot keys of rows, a written table of `total` rows: at most eight a partition,
+    since each holds more than an eighth of a partition's rows. Null keys are not asked for."""
+    limit = max(HOT_ROWS, total // (8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return [(r[0], r[1]) for r in counts.select(key, F.ceil(F.col("n") / limit).cast("int")).collect()]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple[object, int]], how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique; the rows of a hot key are dealt over its parts by hash, and
+    right's row stands in each of them."""
+    if not hot:
+        return left.join(right, key, how)
+    parts = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(F.col(key).alias("_hot"), F.lit(0).alias("_parts")).schema))
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("_hot", "_parts")
+    spread = right.join(parts, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_parts")
+    return dealt.join(spread, [key, "_part"], how).drop("_part")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for a file scan the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,9 +15,11 @@ one of them goes on. Then two passes find the links of every bucket without emit
 1. Every member is compared with its bucket's leader, the member that shares most buckets with others,
    by the exact Jaccard similarity of the shingle sets; links join classes.
 2. Where a bucket still holds several classes, the members outside its largest class are compared with all
-   members, in blocks of BLOCK_ROWS, by their registers; pairs that agree in gate(threshold) of them or more
-   are verified in place, and only links leave the block. Registers agree independently of each other, so a
-   pair at the threshold fails the gate with GATE_MISS at most.
+   members. Both sides are dealt to blocks of BLOCK_ROWS, and each pair of blocks is a group of its own: first
+   by registers alone, of which a pair needs gate(threshold) equal ones to go on; then the shingle sets of the
+   members with such pairs follow into their pair of blocks, where the pairs are verified. Pairs never leave a
+   block, links do. Registers agree independently of each other, so a pair at the threshold fails the gate with
+   GATE_MISS at most.
 
 Pairs of one class need no comparison, so a link between classes is left out only by the bands or the gate:
 together about 5.3e-6 for a pair at 0.8, and less above. Lower thresholds are for the bands, which are of a
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, materialize, text_rows, written_ids
+from .common import hot_keys, id_back, materialize, release, split_join, text_rows, written_ids
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
@@ -235,9 +237,12 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
             keep = [linked(x, y, threshold) for x, y in zip(batch["sa"], batch["sb"])]
             yield batch.loc[keep, ["a", "b"]]
 
+    pairs = materialize(pairs, "pairs")
+    total = pairs.count()
     left = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    # A leader is in as many pairs as its buckets have members: its set follows them into several parts.
+    rows = split_join(split_join(pairs, right, "b", hot_keys(pairs, "b", total)), left, "a", hot_keys(pairs, "a", total)).select("a", "b", "sa", "sb")
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -254,9 +259,11 @@ def components(edges: DataFrame) -> DataFrame:
         ahead = labels.select(F.col("uid").alias("label"), F.col("label").alias("jump"))
         after = spread.join(ahead, "label").select("uid", F.least("label", "jump").alias("label"), "was")
         after = materialize(after, "labels")
-        if after.where("label <> was").isEmpty():
-            return after.select("uid", "label")
+        release(labels)
         labels = after.select("uid", "label")
+        if after.where("label <> was").isEmpty():
+            release(both)
+            return labels
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -289,24 +296,24 @@ def open_links(members: DataFrame, labels: DataFrame, registers: DataFrame, sets
     held = members.join(labels, "uid", "left").select("key", "band", "uid", F.coalesce("label", "uid").alias("label"))
     counts = held.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
-    mixed = mixed.select("key", F.col("x.label").alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    mixed = mixed.select("key", F.col("x.label").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("x.n")).alias("asking"))
     held = materialize(held.join(mixed, "key"), "mixed-buckets")
-    needed = registers.join(held.select("uid").distinct(), "uid", "left_semi").join(sets, "uid")
-    rows = held.join(needed, "uid")
-    seat = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    every = rows.select("key", seat.alias("block"), "band", "uid", "label", "registers", "shingles")
-    asked = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "band", "uid", "label", "registers", "shingles")
+    rows = held.join(registers, "uid")
+    seat = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = rows.select("key", each(F.col("asking")).alias("i"), seat(F.col("blocks")).alias("j"), "band", "uid", "label", "registers")
+    asked = rows.where("label <> main").select("key", seat(F.col("asking")).alias("i"), each(F.col("blocks")).alias("j"), "band", "uid", "label", "registers")
     asked = asked.select(*[F.col(c).alias(f"{c}_") for c in asked.columns])  # the two sides need names of their own
 
     least = gate(threshold)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(left) and len(right):
             grid = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(len(x), -1)
             x, y = grid(left["registers_"]), grid(right["registers"])
             ux, lx, uy, ly = (c.to_numpy() for c in (left["uid_"], left["label_"], right["uid"], right["label"]))
-            own, other = left["shingles_"].tolist(), right["shingles"].tolist()
             band = int(left["band_"].iloc[0])
             for k in range(len(x)):
                 same = y == x[k]
@@ -314,20 +321,34 @@ def open_links(members: DataFrame, labels: DataFrame, registers: DataFrame, sets
                 if band >= 0:  # a pair belongs to the first bucket of the equal-weight sketch that it shares
                     bands = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
                     near[np.flatnonzero(near)[bands[:, :band].any(axis=1)]] = False
-                for j in np.flatnonzero(near).tolist():
-                    if linked(own[k], other[j], threshold):
-                        a.append(min(ux[k], uy[j]))
-                        b.append(max(ux[k], uy[j]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                a.append(np.full(int(near.sum()), ux[k]))
+                b.append(uy[near])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if not len(a):
+            return pd.DataFrame(columns=["key", "i", "j", "a", "b"], dtype=object)
+        first = left.iloc[0]
+        return pd.DataFrame({"key": [first["key_"]], "i": [first["i_"]], "j": [first["j_"]], "a": [a], "b": [b]})
+
+    grouped = asked.groupBy("key_", "i_", "j_").cogroup(every.groupBy("key", "i", "j"))
+    near = materialize(grouped.applyInPandas(compare, "key long, i int, j int, a array<long>, b array<long>"), "near-blocks")
 
-    pairs = asked.groupBy("key_", "block_").cogroup(every.groupBy("key", "block"))
-    return pairs.applyInPandas(run, "a long, b long").distinct()
+    def verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(right["uid"].tolist(), right["shingles"]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *left[c]]) for c in ("a", "b"))
+        keep = np.array([linked(own[x], own[y], threshold) for x, y in zip(a.tolist(), b.tolist())], bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    block = F.struct("key", "i", "j")
+    pairs = near.select(block.alias("block"), "a", "b")
+    wanted = near.select(block.alias("block_"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid")).join(sets, "uid").select("block_", "uid", "shingles")
+    return pairs.groupBy("block").cogroup(wanted.groupBy("block_")).applyInPandas(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size, representative) for each row of docs (doc_id, text)."""
     sketches = sketch(docs)
-    firsts = sketches.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("uid").alias("u")))
+    firsts = sketches.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), least.alias("least"))
     firsts = materialize(firsts, "representatives")
     reps = sketches.select("uid", "doc_id", "digest", "keys").join(firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
     # The first BANDS keys are those of the equal-weight sketch, in order of their bands.
@@ -343,14 +364,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
-    rows = sketches.select("uid", "doc_id", "digest").join(firsts, "digest", "left")
-    rows = rows.select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"))
-    rows = rows.join(labels.select(F.col("uid").alias("rep"), "label"), "rep", "left").select("uid", "doc_id", F.coalesce("label", "rep").alias("label"))
-    rows = materialize(rows, "classes")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("uid").alias("u")))
-    classes = rows.groupBy("label").agg(least.alias("x"), F.count("*").alias("class_size"))
-    joined = rows.join(classes, "label")
-    return joined.select("doc_id", F.col("x.id").alias("class_id"), "class_size", (F.col("uid") == F.col("x.u")).alias("representative"))
+    # Classes of distinct shingle sets, then of their rows; a set with very many rows is split in the last join.
+    known = firsts.join(labels.select(F.col("uid").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = materialize(known, "known")
+    classes = known.groupBy("label").agg(F.min("least").alias("x"), F.sum("n").alias("class_size"))
+    named = split_join(known.select("digest", "label"), classes, "label", hot_keys(known, "label", known.count()))
+    named = named.select("digest", F.col("x.id").alias("class_id"), "class_size", F.col("x.u").alias("first"))
+    rows = sketches.select("uid", "doc_id", "digest")
+    worded, rest = rows.where("digest is not null"), rows.where("digest is null")
+    joined = split_join(worded, named, "digest", hot_keys(worded, "digest", worded.count()))
+    out = joined.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("first")).alias("representative"))
+    return out.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("representative")))
 
 
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -95,6 +95,23 @@ def test_a_large_group_of_uneven_copies(spark):
     assert classes((r["class_id"], r["doc_id"]) for r in got) == want
 
 
+def test_blocks_and_hot_keys_change_nothing(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    rng = random.Random(8)
+    origins = [prose(40, 100)]
+    for _ in range(60):  # a chain of texts: buckets with many classes
+        origins.append(edited(origins[-1], rng, 4))
+    rows = list(enumerate(origins + [origins[0]] * 40))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes(zip(brute(rows), (i for i, _ in rows)))
+    monkeypatch.setattr(N, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    got = N.near_duplicates(frame).collect()
+    assert classes((r["class_id"], r["doc_id"]) for r in got) == want and len(got) == len(rows)
+    assert all(r["representative"] == (r["class_id"] == r["doc_id"]) for r in got)
+
+
 def test_the_gate_follows_the_threshold(spark):
     assert [N.gate(t) for t in (0.8, 0.75, 0.7)] == [158, 143, 130]
     for threshold, equal in ((0.8, 160), (0.7, 140)):
