@@ -37,10 +37,14 @@ from .hashing import GOLDEN, equal_spans, loads, mix64, padded_loads, runs, span
 MEAN_IDS, MIN_IDS, MAX_IDS = 256, 64, 1024
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 MEMORY_WORDS = 2_000_000
+#: Marks at the end of a word that are parted from it.
+MOST_MARKS = 16
 #: Chunks a task remembers having given, likewise.
 SEEN_CHUNKS = 200_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _STRANGE = np.ones(256, bool)
 _STRANGE[ord("a") : ord("z") + 1] = False
 _SOLID = np.ones(256, bool)
@@ -59,8 +63,8 @@ class WordEncoder:
     """A tokenizer file of the tokenizers library, with a bounded memory of words.
 
     The tokenizer drops white space, counts letters in lower case and merges inside words only, so a text's
-    ids are those of its words in order. Texts are cut at blanks and line feeds, and a full stop or comma
-    that closes a letter is a word of its own. Each new word is encoded by the library; its ids and bytes are
+    ids are those of its words in order. Texts are cut at blanks and line feeds, and a run of up to MOST_MARKS
+    ASCII marks that closes a word behind a letter is a word of its own. Each new word is encoded by the library; its ids and bytes are
     kept under a 64-bit hash, and the words of a whole batch are looked up together. A word counts as found
     only where its bytes are those kept; one whose hash another word holds is encoded by the library. Texts with
     the first character of an added token, and all texts of a tokenizer without word ends, go to the library as
@@ -186,16 +190,24 @@ class WordEncoder:
         raw = [b"" if k in apart else x.encode("utf-8", "surrogatepass") for k, x in enumerate(texts)]
         data = _LOWER[np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)]
         start, end = runs(_SOLID[data])
-        # A closing mark behind an ASCII letter, or behind a letter of the block that C3 leads, stands alone.
-        last, ahead, lead = data[end - 1], data[np.maximum(end - 2, 0)], data[np.maximum(end - 3, 0)]
-        letter = (ahead >= 97) & (ahead <= 122) | (lead == 0xC3) & (ahead >= 0x80) & (ahead != 0x97) & (ahead != 0xB7)
-        marked = ((last == 46) | (last == 44)) & (end - start > 1) & letter
+        # ASCII marks that close a word behind an ASCII letter, or a letter of the block that C3 leads, stand alone.
+        run = np.zeros(len(start), np.int64)
+        rows = np.flatnonzero(_MARK[data[end - 1]])
+        while len(rows) and run[rows[0]] < MOST_MARKS:
+            run[rows] += 1
+            rows = rows[(end - start)[rows] > run[rows]]
+            rows = rows[_MARK[data[end[rows] - run[rows] - 1]]]
+        ahead = np.maximum(end - run - 1, 0)
+        last, lead = data[ahead], data[np.maximum(ahead - 1, 0)]
+        letter = (last >= 97) & (last <= 122) | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        marked = (run > 0) & (end - run > start) & letter
         extra = np.cumsum(marked) - marked
         place = np.arange(len(start)) + extra
         first = np.empty(len(start) + int(marked.sum()), np.int64)
         close = np.empty(len(first), np.int64)
-        first[place], close[place] = start, end - marked
-        first[place[marked] + 1], close[place[marked] + 1] = end[marked] - 1, end[marked]
+        cut = end - np.where(marked, run, 0)
+        first[place], close[place] = start, cut
+        first[place[marked] + 1], close[place[marked] + 1] = cut[marked], end[marked]
         hashes = span_hashes(data, first, close) | np.uint64(1)
         found = self._find(hashes)
         if (found < 0).any():
@@ -419,15 +431,14 @@ def sound_parts(store: dict[str, DataFrame]) -> DataFrame:
 
 
 def _links(store: dict[str, DataFrame], chunk_columns: DataFrame) -> DataFrame:
-    """The recipes' chunks in order beside chunk_columns (by digest), gathered by document."""
+    """The recipes beside `pieces`, the chunk_columns (by digest) of their chunks in order."""
     recipes = store["recipes"]
-    n_chunks = (F.length("digests") / 32).cast("int")
     listed = recipes.select("position", F.expr("explode(sequence(0, cast(length(digests) / 32 as int) - 1)) as seq"), "digests")
     links = listed.select("position", "seq", F.expr("substring(digests, seq * 32 + 1, 32)").alias("digest"))
     joined = links.join(chunk_columns, "digest", "left")
     rest = [F.col(c) for c in chunk_columns.columns if c != "digest"]
-    gathered = joined.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", *rest))).alias("pieces"))
-    return recipes.select("part", "position", F.col("doc_id").cast("string").alias("doc_id"), "start", "n", "root", n_chunks.alias("n_chunks")).join(gathered, "position")
+    gathered = joined.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("seq", *rest))).alias("pieces"))
+    return recipes.select("part", "position", F.col("doc_id").cast("string").alias("doc_id"), "start", "n", "digests", "root").join(gathered, "position")
 
 
 def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
@@ -438,27 +449,38 @@ def verify_store(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
     are not those of the manifest (see sound_parts)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = encoder(tokenizer_path).kind
+        own = encoder(tokenizer_path)
         for batch in batches:
-            ids = [np.frombuffer(x, kind) for x in batch["data"]]
-            sound = [hashlib.sha256(x).digest() == bytes(d) and len(i) == n for x, d, i, n in zip(batch["data"], batch["digest"], ids, batch["n"])]
-            yield pd.DataFrame({"digest": batch["digest"], "n": batch["n"], "crc": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "sound": sound})
+            data = batch["data"].tolist()
+            sizes = np.array([len(x) for x in data], np.int64)
+            whole = sizes % own.width == 0
+            wide = memoryview(np.frombuffer(b"".join(x if ok else b"" for x, ok in zip(data, whole)), own.kind).astype("<u4").tobytes())
+            ends = (np.cumsum(np.where(whole, sizes, 0)) // own.width * 4).tolist()
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
+            sound = [hashlib.sha256(x).digest() == d for x, d in zip(data, batch["digest"].tolist())]
+            yield pd.DataFrame({"digest": batch["digest"], "n": batch["n"], "crc": crcs, "sound": np.array(sound, bool) & whole & (sizes == batch["n"].to_numpy() * own.width)})
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("doc_id", "start", "n", "digests", "root", "crcs", "sizes", "sound")
         for batch in batches:
             rows = []
-            for doc_id, start, n, root, n_chunks, pieces, kept in zip(*(batch[c] for c in ("doc_id", "start", "n", "root", "n_chunks", "pieces", "kept"))):
-                whole = len(pieces) == n_chunks and all(p["crc"] is not None for p in pieces)
-                parts = [(int(p["crc"]), int(p["n"])) for p in pieces] if whole else []
-                found = merkle([bytes(p["digest"]) for p in pieces])
-                good = kept and whole and found == bytes(root) and all(p["sound"] for p in pieces) and sum(k for _, k in parts) == n
-                rows.append((doc_id, start, n, join_crcs(parts) if whole else None, int(n_chunks), found.hex(), bool(good)))
+            for doc_id, start, n, digests, root, crcs, sizes, sound in zip(*(batch[c].tolist() for c in names)):
+                digests = bytes(digests)
+                found = merkle([digests[i : i + 32] for i in range(0, len(digests), 32)])
+                whole = crcs is not None
+                crc = join_crcs(list(zip(crcs.tolist(), sizes.tolist()))) if whole else None
+                good = sound and whole and found == bytes(root) and len(crcs) * 32 == len(digests) and int(sizes.sum()) == n
+                rows.append((doc_id, start, n, crc, len(digests) // 32, found.hex(), bool(good)))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "merkle_root", "verified"]).astype({"ids_crc32": "Int64"})
 
     checked = store["chunks"].mapInPandas(check, "digest binary, n long, crc long, sound boolean")
     schema = "doc_id string, start long, n_tokens long, ids_crc32 long, n_chunks long, merkle_root string, verified boolean"
     linked = _links(store, checked).join(F.broadcast(sound_parts(store)), "part")
-    return id_back(linked.mapInPandas(rebuild, schema))
+    there = F.forall("pieces", lambda p: p["crc"].isNotNull())
+    each = lambda name: F.when(there, F.transform("pieces", lambda p: p[name]))
+    sound = F.col("kept") & F.forall("pieces", lambda p: F.coalesce(p["sound"], F.lit(False)))
+    rows = linked.select("doc_id", "start", "n", "digests", "root", each("crc").alias("crcs"), each("n").alias("sizes"), sound.alias("sound"))
+    return id_back(rows.mapInPandas(rebuild, schema))
 
 
 def reconstruct(store: dict[str, DataFrame], tokenizer_path: str) -> DataFrame:
