@@ -46,8 +46,11 @@ from .hashing import GOLDEN, mix64, runs, span_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-#: Members of a block, and the probability with which a pair at the threshold may have too few equal registers.
+#: Members of a block.
 BLOCK_ROWS = 1024
+#: Members of buckets of one block that are compared in one group, bucket by bucket.
+BUNDLE_ROWS = 4096
+#: The probability with which a pair at the threshold may have too few equal registers.
 GATE_MISS = 1e-7
 _WORD = np.ones(256, bool)
 _WORD[: ord("0")] = _WORD[ord("9") + 1 : ord("a")] = _WORD[ord("z") + 1 : 0x80] = False
@@ -299,38 +302,44 @@ def open_links(members: DataFrame, labels: DataFrame, registers: DataFrame, sets
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
     mixed = mixed.select("key", F.col("x.label").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("x.n")).alias("asking"))
     held = materialize(held.join(mixed, "key"), "mixed-buckets")
-    rows = held.join(registers, "uid")
+    # Buckets of one block share a group, for their number; BUNDLE_ROWS members are expected in it.
+    bundles = max(1, held.count() // BUNDLE_ROWS)
+    small = F.col("blocks") == 1
+    group = F.struct(small.alias("small"), F.when(small, F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key")).alias("at"))
+    rows = held.join(registers, "uid").withColumn("group", group)
     seat = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    every = rows.select("key", each(F.col("asking")).alias("i"), seat(F.col("blocks")).alias("j"), "band", "uid", "label", "registers")
-    asked = rows.where("label <> main").select("key", seat(F.col("asking")).alias("i"), each(F.col("blocks")).alias("j"), "band", "uid", "label", "registers")
+    every = rows.select("group", each(F.col("asking")).alias("i"), seat(F.col("blocks")).alias("j"), "key", "band", "uid", "label", "registers")
+    asked = rows.where("label <> main").select("group", seat(F.col("asking")).alias("i"), each(F.col("blocks")).alias("j"), "key", "band", "uid", "label", "registers")
     asked = asked.select(*[F.col(c).alias(f"{c}_") for c in asked.columns])  # the two sides need names of their own
 
     least = gate(threshold)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
             grid = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(len(x), -1)
+            right = right.iloc[np.argsort(right["key"].to_numpy(), kind="stable")]
             x, y = grid(left["registers_"]), grid(right["registers"])
-            ux, lx, uy, ly = (c.to_numpy() for c in (left["uid_"], left["label_"], right["uid"], right["label"]))
-            band = int(left["band_"].iloc[0])
-            for k in range(len(x)):
-                same = y == x[k]
-                near = (ly != lx[k]) & (same.sum(axis=1) >= least)
-                if band >= 0:  # a pair belongs to the first bucket of the equal-weight sketch that it shares
-                    bands = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
-                    near[np.flatnonzero(near)[bands[:, :band].any(axis=1)]] = False
-                a.append(np.full(int(near.sum()), ux[k]))
-                b.append(uy[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        if not len(a):
-            return pd.DataFrame(columns=["key", "i", "j", "a", "b"], dtype=object)
-        first = left.iloc[0]
-        return pd.DataFrame({"key": [first["key_"]], "i": [first["i_"]], "j": [first["j_"]], "a": [a], "b": [b]})
-
-    grouped = asked.groupBy("key_", "i_", "j_").cogroup(every.groupBy("key", "i", "j"))
-    near = materialize(grouped.applyInPandas(compare, "key long, i int, j int, a array<long>, b array<long>"), "near-blocks")
+            ux, lx, kx, uy, ly, ky = (c.to_numpy() for c in (left["uid_"], left["label_"], left["key_"], right["uid"], right["label"], right["key"]))
+            bands, low, high = left["band_"].to_numpy(), np.searchsorted(ky, kx, "left"), np.searchsorted(ky, kx, "right")
+            for k, (c, d) in enumerate(zip(low.tolist(), high.tolist())):
+                other = np.flatnonzero(ly[c:d] != lx[k]) + c
+                same = y[other] == x[k]
+                near = np.flatnonzero(same.sum(axis=1) >= least)
+                if bands[k] > 0 and len(near):  # a pair belongs to the first bucket of the equal-weight sketch that it shares
+                    shared = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+                    near = near[~shared[:, : bands[k]].any(axis=1)]
+                if len(near):
+                    a.append(np.full(len(near), ux[k]))
+                    b.append(uy[other[near]])
+        if len(a) == 1:
+            return pd.DataFrame(columns=["small", "at", "i", "j", "a", "b"], dtype=object)
+        own = left.iloc[0]
+        return pd.DataFrame({"small": [own["group_"]["small"]], "at": [own["group_"]["at"]], "i": [own["i_"]], "j": [own["j_"]], "a": [np.concatenate(a)], "b": [np.concatenate(b)]})
+
+    grouped = asked.groupBy("group_", "i_", "j_").cogroup(every.groupBy("group", "i", "j"))
+    near = materialize(grouped.applyInPandas(compare, "small boolean, at long, i int, j int, a array<long>, b array<long>"), "near-blocks")
 
     def verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = dict(zip(right["uid"].tolist(), right["shingles"]))
@@ -338,7 +347,7 @@ def open_links(members: DataFrame, labels: DataFrame, registers: DataFrame, sets
         keep = np.array([linked(own[x], own[y], threshold) for x, y in zip(a.tolist(), b.tolist())], bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
-    block = F.struct("key", "i", "j")
+    block = F.struct("small", "at", "i", "j")
     pairs = near.select(block.alias("block"), "a", "b")
     wanted = near.select(block.alias("block_"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid")).join(sets, "uid").select("block_", "uid", "shingles")
     return pairs.groupBy("block").cogroup(wanted.groupBy("block_")).applyInPandas(verify, "a long, b long").distinct()
