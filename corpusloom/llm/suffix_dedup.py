@@ -9,11 +9,13 @@ have equal anchors, so all pieces of an anchor that two documents share meet in
 collection's Burrows-Wheeler transform is built column by column: round t inserts, for every piece at once,
 the suffix of length t at the place that the last round's transform gives, and updates the longest common
 prefixes beside it. Runs with a common prefix of MATCH or more are equal windows, and the least document
-id of a run decides. Transform, prefixes and owners are columns that are read and written in sequence each
-round; beyond MEMORY_ENTRIES entries they are files in the task's own temporary folder.
+id of a run decides. Transform, prefixes, documents and lengths are columns that each round reads and writes in
+sequence; beyond MEMORY_ENTRIES entries they are files in the shared folder, of which CHUNK entries are in memory.
 
 Documents travel as compressed blocks of about BLOCK_BYTES. An anchor or a piece leaves a block once,
-however often the block holds it, so a string in a third of all documents costs one entry a block.
+however often the block holds it, so a string in a third of all documents costs one entry a block. What stands
+around such a string differs from document to document, and all of that has the string's anchors: the pieces of
+an anchor of more than HOT_PIECES are cut into their windows, whose own hashes spread them over all parts.
 
 Defined results: a null or empty text has no bytes and loses none; texts under MATCH bytes lose none; equal
 ids are not smaller than each other, so repeated rows do not remove each other; a null id ranks after all
@@ -23,7 +25,7 @@ others; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import id_back, materialize, partitions_for, text_rows
-from .hashing import GOLDEN, mix64, span_hashes
+from .common import id_back, materialize, partitions_for, shared_root, text_rows
+from .hashing import GOLDEN, equal_spans, loads, mix64, span_hashes
 
 MATCH = 50
 K = 20
@@ -41,9 +43,17 @@ BLOCK_BYTES = 4 << 20
 STEP = 1 << 16
 #: Bytes of compressed blocks for each partition of anchors.
 PART_BYTES = 11 << 18
+#: Bytes of compressed blocks for each task that reads them, and parts for each task that judges them.
+TASK_BYTES = 12 << 20
+PARTS_A_TASK = 2
 #: Bytes of pieces in one collection, unless a single anchor has more.
 COLLECTION_BYTES = 1 << 20
-MEMORY_ENTRIES = 16 << 20
+#: Entries of a collection's order up to which its columns stay in memory, and those read of a file at once.
+MEMORY_ENTRIES = 1 << 18
+CHUNK = 1 << 18
+#: Distinct pieces of an anchor that a block's level stands for; an anchor of more pieces in all is hot.
+LEVELS = (1, 15, 255, 4095)
+HOT_PIECES = 1 << 16
 LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
 
@@ -154,26 +164,76 @@ def distinct(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # The column-wise construction
 
 
-class Columns:
-    """The columns of the order, in memory or as files that each round reads and writes in sequence."""
+class Memory:
+    """Columns of a small collection, with the interface of Files."""
 
-    def __init__(self, in_memory: bool):
-        self.folder = None if in_memory else tempfile.TemporaryDirectory(prefix="columns-")
-        self.held: dict[str, np.ndarray] = {}
+    def __init__(self):
+        self.held: dict[str, list[np.ndarray]] = {}
 
-    def put(self, name: str, values: np.ndarray) -> None:
-        if self.folder:
-            values.tofile(f"{self.folder.name}/{name}")
-            self.held[name] = np.empty(0, values.dtype)
-        else:
-            self.held[name] = values
+    def read(self, name: str, kind: np.dtype) -> Iterator[np.ndarray]:
+        yield from self.held[name]
 
-    def get(self, name: str) -> np.ndarray:
-        return np.fromfile(f"{self.folder.name}/{name}", self.held[name].dtype) if self.folder else self.held[name]
+    def write(self, name: str) -> "MemoryColumn":
+        self.held[name] = []
+        return MemoryColumn(self.held[name])
+
+    def drop(self, name: str) -> None:
+        del self.held[name]
+
+    def close(self) -> None:
+        self.held.clear()
+
+
+class MemoryColumn:
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+
+    def put(self, values: np.ndarray) -> None:
+        self.parts.append(values)
+
+    def close(self) -> None:
+        pass
+
+
+class Files:
+    """Columns as files in a folder of the shared storage, read and written in sequence only, CHUNK entries at a time."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        self.root = f"{root}/columns-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.root)
+
+    def read(self, name: str, kind: np.dtype) -> Iterator[np.ndarray]:
+        with self.fs.open_input_stream(f"{self.root}/{name}") as source:
+            while data := source.read(CHUNK * kind.itemsize):
+                while len(data) % kind.itemsize or len(data) < CHUNK * kind.itemsize:
+                    more = source.read(CHUNK * kind.itemsize - len(data))
+                    if not more:
+                        break
+                    data += more
+                yield np.frombuffer(data, kind)
+
+    def write(self, name: str) -> "FileColumn":
+        return FileColumn(self.fs.open_output_stream(f"{self.root}/{name}"))
+
+    def drop(self, name: str) -> None:
+        self.fs.delete_file(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        self.fs.delete_dir(self.root)
+
+
+class FileColumn:
+    def __init__(self, sink):
+        self.sink = sink
+
+    def put(self, values: np.ndarray) -> None:
+        self.sink.write(np.ascontiguousarray(values).data)
 
     def close(self) -> None:
-        if self.folder:
-            self.folder.cleanup()
+        self.sink.close()
 
 
 def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -189,87 +249,200 @@ def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
-def column_order(data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, memory_entries: int = MEMORY_ENTRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Places:
+    """One sequential reading of a column's symbols and prefixes: where the suffixes that the newest entries
+    prolong stand in the next column, and with what common prefixes.
+
+    Entry p stands for the suffix that its symbol prolongs; these are ordered by symbol, then by p. Between two
+    entries of one symbol, the suffixes they prolong have one symbol more in common than the least prefix between."""
+
+    def __init__(self, counts: np.ndarray, ends: int, cap: int):
+        self.starts = np.cumsum(counts) - counts + ends  # of each symbol's entries in the next column
+        self.starts[1:] -= counts[0]  # an entry with the end mark prolongs nothing
+        self.ends, self.cap = ends, cap
+        size = len(counts)
+        self.seen = np.zeros(size, np.int64)
+        self.least = np.full(size, 255, np.uint8)  # the least prefix since the symbol's last entry
+        self.fresh = np.zeros(size, bool)  # whether that entry is one of the newest
+        self.place: list[np.ndarray] = []  # of the newest entries' suffixes, -1 where there is none
+        self.prefix: list[np.ndarray] = []
+        self.changed: list[np.ndarray] = []  # entries behind a new one, and their common prefixes
+        self.change: list[np.ndarray] = []
+
+    def chunk(self, symbol: np.ndarray, prefix: np.ndarray, newest: np.ndarray, last: bool) -> None:
+        """The next entries, and the places of the newest among them."""
+        order = np.argsort(symbol, kind="stable")
+        bounds = np.searchsorted(symbol[order], np.arange(len(self.seen) + 1, dtype=np.int64))
+        order, bounds = order[bounds[1] :], bounds - bounds[1]
+        new = np.zeros(len(symbol), bool)
+        new[newest] = True
+        own = new[order]
+        behind = np.empty(len(order), bool)
+        behind[1:] = own[:-1]
+        kinds = np.flatnonzero(np.diff(bounds)[1:]) + 1
+        first, tail = bounds[kinds], bounds[kinds + 1] - 1
+        behind[first] = self.fresh[kinds]
+        wanted = np.flatnonzero(own | behind)
+        kind = symbol[order[wanted]].astype(np.int64)
+        local = wanted - bounds[kind]
+        rank = self.starts[kind] + self.seen[kind] + local
+        joint = np.zeros(len(wanted), np.uint8)
+        inner = np.flatnonzero(local > 0)
+        joint[inner] = np.minimum(_range_minima(prefix, order[wanted[inner] - 1] + 1, order[wanted[inner]]), self.cap - 1) + 1
+        outer = np.flatnonzero((local == 0) & (self.seen[kind] > 0))
+        if len(outer):
+            ahead = np.minimum.accumulate(prefix)
+            joint[outer] = np.minimum(np.minimum(self.least[kind[outer]], ahead[order[wanted[outer]]]), self.cap - 1) + 1
+        mine = own[wanted]
+        turn = np.argsort(order[wanted[mine]], kind="stable")
+        going = symbol[newest] != 0
+        at, common = np.full(len(newest), -1, np.int64), np.zeros(len(newest), np.uint8)
+        at[going], common[going] = rank[mine][turn], joint[mine][turn]
+        self.place.append(at)
+        self.prefix.append(common)
+        self.changed.append(rank[~mine])
+        self.change.append(joint[~mine])
+        if last:
+            return
+        self.least = np.minimum(self.least, prefix.min(initial=255))
+        since = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255))
+        self.least[kinds] = since[order[tail] + 1]
+        self.fresh[kinds] = own[tail]
+        self.seen[kinds] += tail - first + 1
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place and prefix of the newest entries' suffixes, in their entries' order; changed entries, their prefixes)."""
+        changed, change = np.concatenate(self.changed), np.concatenate(self.change)
+        turn = np.argsort(changed, kind="stable")
+        return np.concatenate(self.place), np.concatenate(self.prefix), changed[turn], change[turn]
+
+
+class ColumnOrder:
     """The suffix order of a collection, built by inserting one symbol of each document a round.
 
-    Returns (transform, common prefix with the entry before, document, suffix length) in order; symbol 0 of
-    the transform is the end mark, which ranks below all symbols and equals no other one. Common prefixes
-    are counted up to `cap`. Equal suffixes keep the order of their documents."""
-    m = len(sizes)
-    seen = np.unique(data)
-    kind = np.uint8 if len(seen) < 255 else np.uint16
-    code = np.zeros(256, kind)
-    code[seen] = np.arange(1, len(seen) + 1)
-    coded = code[data]
-    ends = np.cumsum(sizes)
-    columns = Columns(len(data) + m <= memory_entries)
+    Its columns in order: the transform (symbol 0 is the end mark, which ranks below all symbols and equals no
+    other one), the common prefix with the entry before, counted up to `cap`, the document and the length of the
+    suffix. Equal suffixes keep the order of their documents. A round reads the columns of the last one in
+    sequence, writes them with the new entries merged in, and on the way finds the places of the next round's.
+    In memory are the documents' bytes, the newest entry of each, and CHUNK entries of the columns."""
+
+    KINDS = {"symbol": None, "prefix": np.dtype(np.uint8), "document": np.dtype("<i4"), "length": np.dtype("<i4")}
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, store: Memory | Files | None = None):
+        self.store = store or Memory()
+        alphabet = np.unique(data)
+        kind = np.dtype(np.uint8 if len(alphabet) < 255 else np.uint16)
+        code = np.zeros(256, kind)
+        code[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.kinds = {**self.KINDS, "symbol": kind, "length": np.dtype(np.uint8) if not len(sizes) or sizes.max() < 256 else np.dtype("<i4")}
+        self._build(code[data], np.asarray(sizes, np.int64), len(alphabet) + 1, cap)
 
-    def before(document: np.ndarray, length: int) -> np.ndarray:
-        """The symbol ahead of the suffix of this length, 0 at a document's start."""
-        at = ends[document] - length - 1
-        return np.where(sizes[document] > length, coded[np.maximum(at, 0)] if len(coded) else 0, 0).astype(kind)
+    def chunks(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(symbol, prefix, document, length), CHUNK entries at a time."""
+        return zip(*[self.store.read(f"{name}-{self.turn}", kind) for name, kind in self.kinds.items()])
 
+    def close(self) -> None:
+        self.store.close()
+
+    def _build(self, coded: np.ndarray, sizes: np.ndarray, symbols: int, cap: int) -> None:
+        m, ends = len(sizes), np.cumsum(sizes)
+
+        def before(document: np.ndarray, length: int) -> np.ndarray:
+            """The symbol ahead of the suffix of this length, 0 at a document's start."""
+            at = ends[document] - length - 1
+            inside = sizes[document] > length
+            return np.where(inside, coded[np.where(inside, at, 0)], 0).astype(coded.dtype) if len(coded) else np.zeros(len(document), coded.dtype)
+
+        counts = np.zeros(symbols, np.int64)
+        place, document, size = np.arange(m), np.arange(m), 0
+        prefix, changed, change = np.zeros(m, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        for length in range(int(sizes.max(initial=0)) + 1):
+            fresh = {"symbol": before(document, length), "prefix": prefix, "document": document, "length": np.full(len(place), length)}
+            counts += np.bincount(fresh["symbol"], minlength=symbols)
+            places = Places(counts, m, cap)
+            self._merge(size, place, fresh, changed, change, length, places)
+            size += len(place)
+            at, prefix, changed, change = places.found()
+            live = at >= 0
+            turn = np.argsort(at[live], kind="stable")
+            place, document, prefix = at[live][turn], document[live][turn], prefix[live][turn]
+            if not len(place):
+                break
+
+    def _merge(self, size: int, place: np.ndarray, fresh: dict[str, np.ndarray], changed: np.ndarray, change: np.ndarray, length: int, places: Places) -> None:
+        """Write the columns of this round: the `size` old entries with the fresh ones at their places."""
+        old = self.chunks() if size else iter([tuple(np.zeros(0, k) for k in self.kinds.values())])
+        self.turn, sinks = length, {}
+        try:
+            sinks.update({name: self.store.write(f"{name}-{self.turn}") for name in self.kinds})
+            ahead = place - np.arange(len(place))  # old entries before each place
+            low = 0
+            for part in old:
+                high = low + len(part[0])
+                a = int(np.searchsorted(ahead, low)) if low else 0
+                b = len(place) if high == size else int(np.searchsorted(ahead, high))
+                out_low, total = low + a, high - low + b - a
+                own = place[a:b] - out_low
+                kept = np.ones(total, bool)
+                kept[own] = False
+                merged = {}
+                for (name, kind), values in zip(self.kinds.items(), part):
+                    column = np.empty(total, kind)
+                    column[kept], column[own] = values, fresh[name][a:b]
+                    merged[name] = column
+                c, d = np.searchsorted(changed, [out_low, out_low + total])
+                merged["prefix"][changed[c:d] - out_low] = change[c:d]
+                for name, column in merged.items():
+                    sinks[name].put(column)
+                places.chunk(merged["symbol"], merged["prefix"], own, high == size)
+                low = high
+        finally:
+            for sink in sinks.values():
+                sink.close()
+        for name in self.kinds if size else ():
+            self.store.drop(f"{name}-{length - 1}")
+
+
+def column_order(data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, store: Memory | Files | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of a ColumnOrder as arrays: (symbol, prefix, document, length)."""
+    order = ColumnOrder(data, sizes, cap, store)
     try:
-        columns.put("symbol", before(np.arange(m), 0))
-        columns.put("prefix", np.zeros(m, np.uint8))
-        # Where the last round put each document's suffix, and the documents that have symbols left.
-        newest, document = np.arange(m), np.arange(m)
-        for length in range(1, int(sizes.max()) + 1 if m else 0):
-            live = sizes[document] >= length
-            newest, document = newest[live], document[live]
-            symbol, prefix = columns.get("symbol"), columns.get("prefix")
-            # Entry p stands for the suffix that its symbol prolongs; stable order by symbol places them.
-            order = np.argsort(symbol, kind="stable")[int(np.count_nonzero(symbol == 0)) :]
-            rank = np.empty(len(symbol), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            own = rank[newest]
-            turn = np.argsort(own, kind="stable")
-            own, document = own[turn], document[turn]
-            newest = place = m + own.astype(np.int64)
-
-            def joint(at: np.ndarray) -> np.ndarray:
-                """Common prefixes of the entries at these ranks with those one rank before."""
-                out = np.zeros(len(at), np.uint8)
-                near = np.flatnonzero((at > 0) & (at < len(order)))
-                low, high = order[at[near] - 1], order[at[near]]
-                same = symbol[low] == symbol[high]
-                near, low, high = near[same], low[same], high[same]
-                out[near] = np.minimum(_range_minima(prefix, low + 1, high), cap - 1) + 1
-                return out
-
-            old = np.ones(len(symbol) + len(own), bool)
-            old[place] = False
-            grown = np.empty(len(old), np.uint8)
-            grown[old] = prefix
-            grown[place] = joint(own)
-            after = own[own + 1 < len(order)] + 1
-            grown[m + after] = joint(after)
-            columns.put("prefix", grown)
-            column = np.empty(len(old), kind)
-            column[old] = symbol
-            column[place] = before(document, length)
-            columns.put("symbol", column)
-        symbol, prefix = columns.get("symbol"), columns.get("prefix")
-        # The owners follow from the transform: a document's suffixes lie one step of the order apart.
-        order = np.argsort(symbol, kind="stable")[int(np.count_nonzero(symbol == 0)) :]
-        rank = np.full(len(symbol), -1, np.int64)
-        rank[order] = m + np.arange(len(order))
-        owner, size = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.uint8 if not m or sizes.max() < 256 else np.int32)
-        at, document = np.arange(m), np.arange(m, dtype=np.int32)
-        for length in range(int(sizes.max()) + 1 if m else 0):
-            owner[at], size[at] = document, length
-            at = rank[at]
-            document, at = document[at >= 0], at[at >= 0]
-        return symbol, prefix, owner, size
+        parts = list(order.chunks())
+        return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
     finally:
-        columns.close()
+        order.close()
 
 
-def least_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match: int = MATCH, memory_entries: int = MEMORY_ENTRIES) -> np.ndarray:
+def _least_of_runs(order: ColumnOrder, match: int, rows: np.ndarray, size: np.ndarray, owners: np.ndarray, base: np.ndarray, out: np.ndarray) -> None:
+    """Enter the least owner of each run of equal windows at all of its windows' places in out. A run is a
+    neighbourhood in the order with common prefixes of `match` or more; the last one of a chunk is carried on."""
+    open_places, open_least = np.zeros(0, np.int64), LAST
+    for _, prefix, document, length in order.chunks():
+        whole = np.flatnonzero(length >= match)
+        if not len(whole):
+            continue
+        # Between two windows stand no shorter suffixes with a common prefix of `match`, so theirs decide.
+        first = prefix[whole] < match
+        own = rows[document[whole]]
+        places = base[own] + size[document[whole]] - length[whole]
+        run = np.cumsum(first)  # 0 goes on with the open run
+        bounds = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        least = np.minimum.reduceat(owners[own], bounds)
+        if run[0] == 0:
+            least[0] = min(int(least[0]), open_least)
+            out[open_places] = least[0]
+        out[places] = np.repeat(least, np.diff(np.append(bounds, len(run))))
+        last = places[bounds[-1] :]
+        open_places = np.concatenate([open_places, last]) if run[-1] == 0 else last
+        open_least = int(least[-1])
+
+
+def least_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match: int = MATCH, folder: str | None = None) -> np.ndarray:
     """For distinct piece records: the least owner of each of their windows, piece by piece.
 
-    Records are taken in order of their anchors, in collections that never part an anchor. An anchor with one
-    distinct piece is a collection of one document: its windows are the piece's own."""
+    Records are taken in order of their anchors, in collections that never part an anchor; the columns of one
+    with more than MEMORY_ENTRIES entries are files in `folder`. An anchor with one distinct piece is a collection
+    of one document: its windows are the piece's own."""
     windows = grid[:, -1].astype(np.int64)
     base = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), np.int64)
@@ -291,13 +464,11 @@ def least_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match:
         rows, size = order[low:high], sizes[low:high]
         block = grid[rows, :-1]
         data = block[np.arange(block.shape[1]) < size[:, None]]
-        _, prefix, document, length = column_order(data, size, match, memory_entries)
-        whole = np.flatnonzero(length >= match)
-        first = prefix[whole] < match  # a run of equal windows begins
-        run = np.cumsum(first) - 1
-        own = rows[document[whole]]
-        least = np.minimum.reduceat(owners[own], np.flatnonzero(first))
-        out[base[own] + size[document[whole]] - length[whole]] = least[run]
+        order_of = ColumnOrder(data, size, match, Files(folder) if folder and len(data) + len(size) > MEMORY_ENTRIES else None)
+        try:
+            _least_of_runs(order_of, match, rows, size, owners, base, out)
+        finally:
+            order_of.close()
     return out
 
 
@@ -330,6 +501,16 @@ def cut_blocks(docs: DataFrame) -> DataFrame:
     return materialize(text_rows(docs).mapInPandas(run, BLOCK_SCHEMA), "blocks")
 
 
+def _by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows dealt by block to as many partitions as the table of blocks asks for."""
+    return rows.repartition(partitions_for(blocks, TASK_BYTES), "block")
+
+
+def _by_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """rows dealt by part, one or a few parts to each partition however many there are."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // PARTS_A_TASK), "part")
+
+
 def _load(ids: list, sizes: list, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.array([LAST if x is None else int(x) for x in ids], np.int64)
     return owner, np.array(sizes, np.int64), np.frombuffer(unsqueeze(bytes(data)), np.uint8)
@@ -344,14 +525,21 @@ def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, part[heads], np.append(heads, len(part))
 
 
-def _anchor_sets(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct anchors, number of each piece's, whether two documents hold it)."""
+def _anchor_sets(key: np.ndarray, owner: np.ndarray, name: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct anchors, number of each piece's, level: 0 for an anchor in one document, else 1 for up to
+    LEVELS[1] distinct pieces, 2 for up to LEVELS[2], and 3 for more; without names 1 for all)."""
     distinct_keys, number = np.unique(key, return_inverse=True)
     low = np.full(len(distinct_keys), LAST)
     high = np.full(len(distinct_keys), -1)
     np.minimum.at(low, number, owner)
     np.maximum.at(high, number, owner)
-    return distinct_keys, number, low != high
+    level = (low != high).astype(np.uint8)
+    if name is not None and level.any():
+        held = np.flatnonzero(level[number])
+        with np.errstate(over="ignore"):
+            _, first = np.unique(name[held] + key[held] * GOLDEN, return_index=True)
+        level += np.searchsorted(LEVELS[1:], np.bincount(number[held[first]], minlength=len(level))).astype(np.uint8)
+    return distinct_keys, number, level
 
 
 def _pack_keys(keys: np.ndarray, parts: int) -> bytes:
@@ -366,61 +554,89 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _pack_two(values: np.ndarray) -> bytes:
+    """Values 0 .. 3 as two rows of bits."""
+    return np.packbits(np.stack([values & 1, values >> 1])).tobytes()
+
+
+def _unpack_two(data: bytes, count: int) -> np.ndarray:
+    low, high = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * count).reshape(2, count)
+    return low | high << 1
+
+
 def send_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, ids, sizes, data in zip(batch["block"], batch["ids"], batch["sizes"], batch["data"]):
                 _, sizes, raw = _load(ids, sizes, data)
-                _, _, key, owner, _ = pieces_of(raw, sizes)
-                keys, _, many = _anchor_sets(key, owner)
+                _, _, key, owner, name = pieces_of(raw, sizes)
+                keys, _, level = _anchor_sets(key, owner, name)
                 order, part, bound = _by_part(keys, parts)
-                keys, many = keys[order], many[order]
+                keys, level = keys[order], level[order]
                 yield pd.DataFrame(
                     {
                         "part": part, "block": np.full(len(part), block),
                         "keys": [_pack_keys(keys[a:b], parts) for a, b in zip(bound, bound[1:])],
-                        "many": [np.packbits(many[a:b]).tobytes() for a, b in zip(bound, bound[1:])],
+                        "level": [_pack_two(level[a:b]) for a, b in zip(bound, bound[1:])],
                     }
                 )
 
-    return blocks.mapInPandas(run, "part int, block long, keys binary, many binary")
+    return blocks.mapInPandas(run, "part int, block long, keys binary, level binary")
 
 
-def shared_anchors(sent: DataFrame) -> DataFrame:
-    """For each block and part which of its anchors two documents share, as bits in their order."""
+def shared_anchors(sent: DataFrame, parts: int) -> DataFrame:
+    """For each block and part what is known of its anchors, in their order: 0 for one that no two documents
+    share, 1 for a shared one, 2 for a hot one, of more than HOT_PIECES distinct pieces by the blocks' levels."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         raw = [_unpack_keys(x) for x in group["keys"]]
         keys = np.concatenate(raw)
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(r)) for x, r in zip(group["many"], raw)]).astype(bool)
+        level = np.concatenate([_unpack_two(x, len(r)) for x, r in zip(group["level"], raw)])
         _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
         shared = count > 1
-        shared[number[many]] = True
-        bits, at, out = shared[number], 0, []
-        for r in raw:
-            out.append(np.packbits(bits[at : at + len(r)]).tobytes())
-            at += len(r)
-        return pd.DataFrame({"block": group["block"], "part": group["part"], "bits": out})
+        shared[number[level > 0]] = True
+        pieces = np.bincount(number, weights=np.array(LEVELS, float)[level])
+        state = (shared.astype(np.uint8) + (shared & (pieces > HOT_PIECES)))[number]
+        ends = np.cumsum([len(r) for r in raw])
+        return pd.DataFrame({"block": group["block"], "part": group["part"], "bits": [_pack_two(x) for x in np.split(state, ends[:-1])]})
+
+    return _by_parts(sent, parts).groupBy("part").applyInPandas(run, "block long, part int, bits binary")
 
-    return sent.groupBy("part").applyInPandas(run, "block long, part int, bits binary")
+
+def _as_windows(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, windows, key, document, name) of each window of some pieces as a piece of its own, under a hash of
+    the whole window: what stands around a string that very many documents hold spreads over all parts."""
+    total = np.cumsum(windows)
+    spread = np.repeat(np.arange(len(windows)), windows)
+    at = start[spread] + np.arange(len(spread)) - (total - windows)[spread]
+    name = span_hashes(raw, at, at + MATCH)
+    return at, np.ones(len(at), np.int64), name >> np.uint64(6), owner[spread], name
 
 
 def _shared_pieces(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, bits: dict[int, bytes], parts: int) -> tuple[np.ndarray, ...]:
     """A block's pieces with a shared anchor: (start, windows, anchor, document, number of its distinct piece),
-    and of the distinct pieces, dealt to parts: (first place, part numbers, bounds).
-
-    Pieces are told apart by their anchor and a 64-bit hash of their bytes."""
+    and of the distinct pieces, dealt to parts: (first place, part numbers, bounds). Those of hot anchors are cut
+    into their windows. Pieces are found equal by a hash, and compared byte by byte."""
     start, windows, key, owner, name = pieces_of(raw, sizes)
     keys, number, _ = _anchor_sets(key, owner)
     order, part, bound = _by_part(keys, parts)
-    shared = np.zeros(len(keys), bool)
+    state = np.zeros(len(keys), np.uint8)
     for p, a, b in zip(part.tolist(), bound.tolist(), bound[1:].tolist()):
-        shared[order[a:b]] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
-    kept = np.flatnonzero(shared[number])
-    start, windows, key, owner = start[kept], windows[kept], key[kept], owner[kept]
+        state[order[a:b]] = _unpack_two(bits[p], b - a)
+    own = state[number]
+    kept = np.flatnonzero(own == 1)
+    columns = [x[kept] for x in (start, windows, key, owner, name)]
+    hot = np.flatnonzero(own == 2)
+    if len(hot):
+        columns = [np.concatenate(x) for x in zip(columns, _as_windows(raw, start[hot], windows[hot], owner[hot]))]
+    start, windows, key, owner, name = columns
     with np.errstate(over="ignore"):
-        name = name[kept] + key * GOLDEN
+        name = name + key * GOLDEN
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    words = loads(raw)
+    same = (windows == windows[first][which]) & (key == key[first][which])
+    if not same.all() or not equal_spans(words, start, words, start[first][which], windows + MATCH - 1).all():
+        first, which = distinct(np.concatenate([piece_bytes(raw, start, windows), key.astype("<u8")[:, None].view(np.uint8)], axis=1))
     order, part, bound = _by_part(key[first], parts)
     back = np.empty(len(first), np.int64)
     back[order] = np.arange(len(first))
@@ -443,13 +659,13 @@ def send_pieces(blocks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
                 rows.append((p, block, squeeze(grid[a:b].tobytes()), _pack_keys(key[first[a:b]], parts), squeeze(least[a:b].tobytes())))
         return pd.DataFrame(rows, columns=["part", "block", "a", "b", "c"])
 
-    pairs = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    pairs = _by_block(blocks, blocks).groupBy("block").cogroup(_by_block(answers, blocks).groupBy("block"))
     return pairs.applyInPandas(run, "part int, block long, a binary, b binary, c binary")
 
 
-def judge_pieces(sent: DataFrame) -> DataFrame:
+def judge_pieces(sent: DataFrame, parts: int) -> DataFrame:
     """For each block and part the least owner of every window of its pieces, in their order."""
-    width = 2 * MATCH - K + 1
+    width, folder = 2 * MATCH - K + 1, shared_root(sent.sparkSession)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         grids = [np.frombuffer(unsqueeze(x), np.uint8).reshape(-1, width) for x in group["a"]]
@@ -461,7 +677,7 @@ def judge_pieces(sent: DataFrame) -> DataFrame:
         keys = np.concatenate([_unpack_keys(x) for x in group["b"]])[first]
         owners = np.full(len(first), LAST)
         np.minimum.at(owners, number, np.concatenate([np.frombuffer(unsqueeze(x), np.int64) for x in group["c"]]))
-        least = least_owners(grid, keys, owners)
+        least = least_owners(grid, keys, owners, folder=folder)
         windows = grid[:, -1].astype(np.int64)
         base = np.cumsum(windows) - windows
         out, at = [], 0
@@ -473,7 +689,7 @@ def judge_pieces(sent: DataFrame) -> DataFrame:
             at += n
         return pd.DataFrame({"block": group["block"], "part": group["part"], "a": out})
 
-    return sent.groupBy("part").applyInPandas(run, "block long, part int, a binary")
+    return _by_parts(sent, parts).groupBy("part").applyInPandas(run, "block long, part int, a binary")
 
 
 def _removed(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, start: np.ndarray, windows: np.ndarray, which: np.ndarray, least: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -521,7 +737,7 @@ def settle(blocks: DataFrame, answers: DataFrame, judged: DataFrame, parts: int,
 
     right = answers.unionByName(judged, allowMissingColumns=True)
     schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return id_back(blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, schema))
+    return id_back(_by_block(blocks, blocks).groupBy("block").cogroup(_by_block(right, blocks).groupBy("block")).applyInPandas(run, schema))
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -530,6 +746,6 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     One plan from the table of blocks: the exchange of the blocks serves both co-groups."""
     blocks = cut_blocks(docs)
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_for(blocks, PART_BYTES))
-    answers = materialize(shared_anchors(send_anchors(blocks, parts)), "shared-anchors")
-    judged = judge_pieces(send_pieces(blocks, answers, parts))
+    answers = materialize(shared_anchors(send_anchors(blocks, parts), parts), "shared-anchors")
+    judged = judge_pieces(send_pieces(blocks, answers, parts), parts)
     return settle(blocks, answers, judged, parts, texts)
