@@ -97,9 +97,9 @@ def window_anchors(data: np.ndarray, match: int = MATCH, k: int = K) -> np.ndarr
     return np.minimum(value[: len(value) - rest], value[rest:]) if rest else value
 
 
-def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor hash, document, hash of the bytes) of the pieces of concatenated documents."""
-    starts, counts, keys, owners, names = [], [], [], [], []
+def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, anchor hash, document) of the pieces of concatenated documents."""
+    starts, counts, keys, owners = [], [], [], []
     ends = np.cumsum(sizes)
     n = len(data) - match + 1
     step = STEP
@@ -121,11 +121,16 @@ def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int =
         keys.append(key[head])
         owners.append(owner[head])
         counts.append(np.bincount(group, minlength=len(head)).astype(np.int64))
-        names.append(span_hashes(data[first : last + match - 1], head, head + counts[-1] + match - 1))
     if not starts:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(owners), np.concatenate(names)
+        return none, none, none.astype(np.uint64), none
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(owners)
+
+
+def piece_names(data: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, match: int = MATCH) -> np.ndarray:
+    """A hash of the bytes and the anchor of each piece."""
+    with np.errstate(over="ignore"):
+        return span_hashes(data, start, start + windows + match - 1) + key * GOLDEN
 
 
 def piece_bytes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, match: int = MATCH, k: int = K) -> np.ndarray:
@@ -230,7 +235,7 @@ class FileColumn:
         self.sink = sink
 
     def put(self, values: np.ndarray) -> None:
-        self.sink.write(np.ascontiguousarray(values).data)
+        self.sink.write(np.ascontiguousarray(values).view(np.uint8).data)
 
     def close(self) -> None:
         self.sink.close()
@@ -249,6 +254,15 @@ def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
+def _prefix_minima(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """min(values[0..end]) for a few ends."""
+    if not len(ends):
+        return np.zeros(0, values.dtype)
+    known, back = np.unique(ends, return_inverse=True)
+    parts = np.minimum.reduceat(values[: int(known[-1]) + 1], np.append(0, known[:-1] + 1))
+    return np.minimum.accumulate(parts)[back]
+
+
 class Places:
     """One sequential reading of a column's symbols and prefixes: where the suffixes that the newest entries
     prolong stand in the next column, and with what common prefixes.
@@ -290,9 +304,9 @@ class Places:
         inner = np.flatnonzero(local > 0)
         joint[inner] = np.minimum(_range_minima(prefix, order[wanted[inner] - 1] + 1, order[wanted[inner]]), self.cap - 1) + 1
         outer = np.flatnonzero((local == 0) & (self.seen[kind] > 0))
-        if len(outer):
-            ahead = np.minimum.accumulate(prefix)
-            joint[outer] = np.minimum(np.minimum(self.least[kind[outer]], ahead[order[wanted[outer]]]), self.cap - 1) + 1
+        if len(outer):  # first entries of their symbols in this chunk, in the order of their symbols
+            ahead = _prefix_minima(prefix, order[wanted[outer]])
+            joint[outer] = np.minimum(np.minimum(self.least[kind[outer]], ahead), self.cap - 1) + 1
         mine = own[wanted]
         turn = np.argsort(order[wanted[mine]], kind="stable")
         going = symbol[newest] != 0
@@ -305,8 +319,9 @@ class Places:
         if last:
             return
         self.least = np.minimum(self.least, prefix.min(initial=255))
-        since = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255))
-        self.least[kinds] = since[order[tail] + 1]
+        self.least[kinds] = 255
+        inside = order[tail] + 1 < len(prefix)
+        self.least[kinds[inside]] = _prefix_minima(prefix[::-1], len(prefix) - 2 - order[tail[inside]])
         self.fresh[kinds] = own[tail]
         self.seen[kinds] += tail - first + 1
 
@@ -321,25 +336,24 @@ class ColumnOrder:
     """The suffix order of a collection, built by inserting one symbol of each document a round.
 
     Its columns in order: the transform (symbol 0 is the end mark, which ranks below all symbols and equals no
-    other one), the common prefix with the entry before, counted up to `cap`, the document and the length of the
-    suffix. Equal suffixes keep the order of their documents. A round reads the columns of the last one in
-    sequence, writes them with the new entries merged in, and on the way finds the places of the next round's.
-    In memory are the documents' bytes, the newest entry of each, and CHUNK entries of the columns."""
-
-    KINDS = {"symbol": None, "prefix": np.dtype(np.uint8), "document": np.dtype("<i4"), "length": np.dtype("<i4")}
+    other one), the common prefix with the entry before, counted up to `cap`, the length of the suffix and its
+    document, as records of one file. Equal suffixes keep the order of their documents. A round reads the records
+    of the last one in sequence, writes them with the new entries merged in, and on the way finds the places of the
+    next round's. In memory are the documents' bytes, the newest entry of each, and CHUNK records."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, store: Memory | Files | None = None):
         self.store = store or Memory()
         alphabet = np.unique(data)
-        kind = np.dtype(np.uint8 if len(alphabet) < 255 else np.uint16)
-        code = np.zeros(256, kind)
+        code = np.zeros(256, np.uint16)
         code[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.kinds = {**self.KINDS, "symbol": kind, "length": np.dtype(np.uint8) if not len(sizes) or sizes.max() < 256 else np.dtype("<i4")}
+        self.narrow = len(alphabet) < 255
+        short = not len(sizes) or sizes.max() < 256
+        self.kind = np.dtype([("symbol", "<u2"), ("prefix", "u1"), ("length", "u1" if short else "<u4"), *([] if short else [("spare", "u1")]), ("document", "<i4")])
         self._build(code[data], np.asarray(sizes, np.int64), len(alphabet) + 1, cap)
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """(symbol, prefix, document, length), CHUNK entries at a time."""
-        return zip(*[self.store.read(f"{name}-{self.turn}", kind) for name, kind in self.kinds.items()])
+    def chunks(self) -> Iterator[np.ndarray]:
+        """The records, CHUNK at a time."""
+        return self.store.read(f"order-{self.turn}", self.kind)
 
     def close(self) -> None:
         self.store.close()
@@ -351,13 +365,14 @@ class ColumnOrder:
             """The symbol ahead of the suffix of this length, 0 at a document's start."""
             at = ends[document] - length - 1
             inside = sizes[document] > length
-            return np.where(inside, coded[np.where(inside, at, 0)], 0).astype(coded.dtype) if len(coded) else np.zeros(len(document), coded.dtype)
+            return np.where(inside, coded[np.where(inside, at, 0)], 0) if len(coded) else np.zeros(len(document), np.uint16)
 
         counts = np.zeros(symbols, np.int64)
         place, document, size = np.arange(m), np.arange(m), 0
         prefix, changed, change = np.zeros(m, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         for length in range(int(sizes.max(initial=0)) + 1):
-            fresh = {"symbol": before(document, length), "prefix": prefix, "document": document, "length": np.full(len(place), length)}
+            fresh = np.zeros(len(place), self.kind)
+            fresh["symbol"], fresh["prefix"], fresh["document"], fresh["length"] = before(document, length), prefix, document, length
             counts += np.bincount(fresh["symbol"], minlength=symbols)
             places = Places(counts, m, cap)
             self._merge(size, place, fresh, changed, change, length, places)
@@ -369,46 +384,43 @@ class ColumnOrder:
             if not len(place):
                 break
 
-    def _merge(self, size: int, place: np.ndarray, fresh: dict[str, np.ndarray], changed: np.ndarray, change: np.ndarray, length: int, places: Places) -> None:
-        """Write the columns of this round: the `size` old entries with the fresh ones at their places."""
-        old = self.chunks() if size else iter([tuple(np.zeros(0, k) for k in self.kinds.values())])
-        self.turn, sinks = length, {}
+    def _merge(self, size: int, place: np.ndarray, fresh: np.ndarray, changed: np.ndarray, change: np.ndarray, length: int, places: Places) -> None:
+        """Write the records of this round: the `size` old entries with the fresh ones at their places."""
+        old = self.chunks() if size else iter([np.zeros(0, self.kind)])
+        self.turn = length
+        whole = np.dtype("<u8") if self.kind.itemsize == 8 else self.kind  # plain numbers move faster than records
+        sink = self.store.write(f"order-{length}")
         try:
-            sinks.update({name: self.store.write(f"{name}-{self.turn}") for name in self.kinds})
             ahead = place - np.arange(len(place))  # old entries before each place
             low = 0
             for part in old:
-                high = low + len(part[0])
+                high = low + len(part)
                 a = int(np.searchsorted(ahead, low)) if low else 0
                 b = len(place) if high == size else int(np.searchsorted(ahead, high))
                 out_low, total = low + a, high - low + b - a
                 own = place[a:b] - out_low
                 kept = np.ones(total, bool)
                 kept[own] = False
-                merged = {}
-                for (name, kind), values in zip(self.kinds.items(), part):
-                    column = np.empty(total, kind)
-                    column[kept], column[own] = values, fresh[name][a:b]
-                    merged[name] = column
+                merged = np.empty(total, self.kind)
+                merged.view(whole)[kept], merged.view(whole)[own] = part.view(whole), fresh[a:b].view(whole)
                 c, d = np.searchsorted(changed, [out_low, out_low + total])
                 merged["prefix"][changed[c:d] - out_low] = change[c:d]
-                for name, column in merged.items():
-                    sinks[name].put(column)
-                places.chunk(merged["symbol"], merged["prefix"], own, high == size)
+                sink.put(merged)
+                symbol = merged["symbol"].astype(np.uint8) if self.narrow else np.ascontiguousarray(merged["symbol"])
+                places.chunk(symbol, np.ascontiguousarray(merged["prefix"]), own, high == size)
                 low = high
         finally:
-            for sink in sinks.values():
-                sink.close()
-        for name in self.kinds if size else ():
-            self.store.drop(f"{name}-{length - 1}")
+            sink.close()
+        if size:
+            self.store.drop(f"order-{length - 1}")
 
 
 def column_order(data: np.ndarray, sizes: np.ndarray, cap: int = MATCH, store: Memory | Files | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The columns of a ColumnOrder as arrays: (symbol, prefix, document, length)."""
     order = ColumnOrder(data, sizes, cap, store)
     try:
-        parts = list(order.chunks())
-        return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+        whole = np.concatenate([np.zeros(0, order.kind), *order.chunks()])
+        return whole["symbol"], whole["prefix"], whole["document"], whole["length"]
     finally:
         order.close()
 
@@ -417,7 +429,8 @@ def _least_of_runs(order: ColumnOrder, match: int, rows: np.ndarray, size: np.nd
     """Enter the least owner of each run of equal windows at all of its windows' places in out. A run is a
     neighbourhood in the order with common prefixes of `match` or more; the last one of a chunk is carried on."""
     open_places, open_least = np.zeros(0, np.int64), LAST
-    for _, prefix, document, length in order.chunks():
+    for part in order.chunks():
+        prefix, document, length = part["prefix"], part["document"], part["length"].astype(np.int64)
         whole = np.flatnonzero(length >= match)
         if not len(whole):
             continue
@@ -525,21 +538,22 @@ def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.n
     return order, part[heads], np.append(heads, len(part))
 
 
-def _anchor_sets(key: np.ndarray, owner: np.ndarray, name: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct anchors, number of each piece's, level: 0 for an anchor in one document, else 1 for up to
-    LEVELS[1] distinct pieces, 2 for up to LEVELS[2], and 3 for more; without names 1 for all)."""
+def _anchor_sets(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct anchors, number of each piece's, whether two documents hold it)."""
     distinct_keys, number = np.unique(key, return_inverse=True)
     low = np.full(len(distinct_keys), LAST)
     high = np.full(len(distinct_keys), -1)
     np.minimum.at(low, number, owner)
     np.maximum.at(high, number, owner)
-    level = (low != high).astype(np.uint8)
-    if name is not None and level.any():
-        held = np.flatnonzero(level[number])
-        with np.errstate(over="ignore"):
-            _, first = np.unique(name[held] + key[held] * GOLDEN, return_index=True)
-        level += np.searchsorted(LEVELS[1:], np.bincount(number[held[first]], minlength=len(level))).astype(np.uint8)
-    return distinct_keys, number, level
+    return distinct_keys, number, low != high
+
+
+def _levels(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, key: np.ndarray, number: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each anchor 0 if one document holds it, else 1 for up to LEVELS[1] distinct pieces, 2 for up to LEVELS[2], 3 for more."""
+    held = np.flatnonzero(many[number])
+    _, first = np.unique(piece_names(raw, start[held], windows[held], key[held]), return_index=True)
+    pieces = np.bincount(number[held[first]], minlength=len(many))
+    return many * (1 + np.searchsorted(LEVELS[1:3], pieces)).astype(np.uint8)
 
 
 def _pack_keys(keys: np.ndarray, parts: int) -> bytes:
@@ -569,8 +583,9 @@ def send_anchors(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, ids, sizes, data in zip(batch["block"], batch["ids"], batch["sizes"], batch["data"]):
                 _, sizes, raw = _load(ids, sizes, data)
-                _, _, key, owner, name = pieces_of(raw, sizes)
-                keys, _, level = _anchor_sets(key, owner, name)
+                start, windows, key, owner = pieces_of(raw, sizes)
+                keys, number, many = _anchor_sets(key, owner)
+                level = _levels(raw, start, windows, key, number, many)
                 order, part, bound = _by_part(keys, parts)
                 keys, level = keys[order], level[order]
                 yield pd.DataFrame(
@@ -604,20 +619,19 @@ def shared_anchors(sent: DataFrame, parts: int) -> DataFrame:
 
 
 def _as_windows(raw: np.ndarray, start: np.ndarray, windows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, key, document, name) of each window of some pieces as a piece of its own, under a hash of
+    """(start, windows, key, document) of each window of some pieces as a piece of its own, under a hash of
     the whole window: what stands around a string that very many documents hold spreads over all parts."""
     total = np.cumsum(windows)
     spread = np.repeat(np.arange(len(windows)), windows)
     at = start[spread] + np.arange(len(spread)) - (total - windows)[spread]
-    name = span_hashes(raw, at, at + MATCH)
-    return at, np.ones(len(at), np.int64), name >> np.uint64(6), owner[spread], name
+    return at, np.ones(len(at), np.int64), span_hashes(raw, at, at + MATCH) >> np.uint64(6), owner[spread]
 
 
 def _shared_pieces(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, bits: dict[int, bytes], parts: int) -> tuple[np.ndarray, ...]:
     """A block's pieces with a shared anchor: (start, windows, anchor, document, number of its distinct piece),
     and of the distinct pieces, dealt to parts: (first place, part numbers, bounds). Those of hot anchors are cut
     into their windows. Pieces are found equal by a hash, and compared byte by byte."""
-    start, windows, key, owner, name = pieces_of(raw, sizes)
+    start, windows, key, owner = pieces_of(raw, sizes)
     keys, number, _ = _anchor_sets(key, owner)
     order, part, bound = _by_part(keys, parts)
     state = np.zeros(len(keys), np.uint8)
@@ -625,14 +639,12 @@ def _shared_pieces(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, bits: di
         state[order[a:b]] = _unpack_two(bits[p], b - a)
     own = state[number]
     kept = np.flatnonzero(own == 1)
-    columns = [x[kept] for x in (start, windows, key, owner, name)]
+    columns = [x[kept] for x in (start, windows, key, owner)]
     hot = np.flatnonzero(own == 2)
     if len(hot):
         columns = [np.concatenate(x) for x in zip(columns, _as_windows(raw, start[hot], windows[hot], owner[hot]))]
-    start, windows, key, owner, name = columns
-    with np.errstate(over="ignore"):
-        name = name + key * GOLDEN
-    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    start, windows, key, owner = columns
+    _, first, which = np.unique(piece_names(raw, start, windows, key), return_index=True, return_inverse=True)
     words = loads(raw)
     same = (windows == windows[first][which]) & (key == key[first][which])
     if not same.all() or not equal_spans(words, start, words, start[first][which], windows + MATCH - 1).all():

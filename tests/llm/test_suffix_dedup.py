@@ -60,7 +60,7 @@ def test_files_keep_a_few_chunks_in_memory(tmp_path, monkeypatch):
     order = S.ColumnOrder(data, sizes, 50, S.Files(str(tmp_path)))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    entries = sum(len(p[0]) for p in order.chunks())
+    entries = sum(map(len, order.chunks()))
     order.close()
     assert entries == len(data) + len(sizes)
     # One byte an entry for the documents; all columns together would be seven, and their order eight more.
@@ -71,7 +71,7 @@ def test_windows_lie_in_one_piece_each():
     rng = random.Random(2)
     docs = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (0, 49, 50, 51, 400, 1000)]
     data, sizes = np.frombuffer(b"".join(docs), np.uint8), np.array([len(d) for d in docs])
-    start, windows, key, owner, _ = S.pieces_of(data, sizes)
+    start, windows, key, owner = S.pieces_of(data, sizes)
     covered = sorted(at for s, n in zip(start, windows) for at in range(s, s + n))
     base = np.cumsum(sizes) - sizes
     assert covered == [b + i for b, n in zip(base, sizes) for i in range(max(0, n - 49))]
@@ -136,8 +136,9 @@ def test_hot_anchors_and_names_that_collide(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     ids, sizes, raw = np.arange(80), np.array([len(t.encode()) for _, t in rows]), np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     want = brute(rows)
-    key, owner, name = S.pieces_of(raw, sizes)[2:]
-    keys, _, level = S._anchor_sets(key, owner, name)
+    start, windows, key, owner = S.pieces_of(raw, sizes)
+    keys, number, many = S._anchor_sets(key, owner)
+    level = S._levels(raw, start, windows, key, number, many)
     assert set(level) == {0, 1, 2} and (S._unpack_two(S._pack_two(level), len(level)) == level).all()
     real_pieces, real_windows = S._shared_pieces, S._as_windows
     order, part, bound = S._by_part(keys, 3)
