@@ -78,7 +78,7 @@ QUERIES["op4_html_render"] = op4_html_render
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate secret of every text with the forest's verdict."""
-    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"), words=secret_scan.vocabulary_words(tokenizer_path()))
 
 
 QUERIES["op7_secret_scan"] = op7_secret_scan
