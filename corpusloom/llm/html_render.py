@@ -9,19 +9,22 @@ media fallbacks, data lists, elements with `hidden`, display:none or visibility:
 what a closed `details` holds besides its summary, options that are not shown. Blocks stand on lines of
 their own, paragraphs, headings, lists, quotes, tables and preformatted text between blank lines; list items
 carry bullets or numbers and indent their content; the cells of a table are padded to columns, spans
-included; white space collapses outside preformatted text.
+included, as far as the padding stays in proportion to the text; white space collapses outside preformatted text.
 
-Defined results: a null or empty page renders as the empty text; repeated rows each give a row; further
-columns are kept as they are; an empty table gives an empty result.
+Defined results: a null or empty page renders as the empty text; repeated rows each give a row; further columns
+stay, those with the name of an output under another one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the HTML standard: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +64,12 @@ TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
+#: Open elements that are looked through one by one.
+NEAR = 24
+#: Widths up to which cells widen their column, the first that fits: all lines of a table are together at most
+#: PAD_TIMES its text and PAD_CHARS long. With 0 the cells of a row are two blanks apart and not aligned.
+ALIGN = (1 << 30, 400, 120, 40, 16, 0)
+PAD_TIMES, PAD_CHARS = 4, 4000
 
 
 class Node:
@@ -91,32 +100,38 @@ class Builder:
         self.stack = [self.root]
         self.in_head = False
         self.has_body = False
-        self.open = {"html": 1}
+        self.open: dict[str, list[int]] = {"html": [0]}  # by tag, the places of its open elements on the stack
 
     def _push(self, node: Node) -> None:
         self.stack[-1].children.append(node)
+        self.open.setdefault(node.tag, []).append(len(self.stack))
         self.stack.append(node)
-        self.open[node.tag] = self.open.get(node.tag, 0) + 1
 
     def _cut(self, size: int) -> None:
         while len(self.stack) > size:
             tag = self.stack.pop().tag
-            self.open[tag] -= 1
+            self.open[tag].pop()
             if tag == "head":
                 self.in_head = False
 
+    def _nearest(self, tags: frozenset) -> int:
+        """The place of the nearest open element of tags, 0 without one. Near ones are looked for on the stack; a
+        deep nesting is not walked through, its places are known by tag."""
+        top = len(self.stack) - 1
+        for k in range(top, max(0, top - NEAR), -1):
+            if self.stack[k].tag in tags:
+                return k
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0) if top > NEAR else 0
+
     def _close(self, tags: frozenset, fence: frozenset) -> bool:
         """Ends the nearest open element of tags above the nearest of fence."""
         if not any(self.open.get(t) for t in tags):
             return False
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in tags:
-                self._cut(k)
-                return True
-            if tag in fence:
-                return False
-        return False
+        at = self._nearest(tags)
+        if not at or self._nearest(fence) > at:
+            return False
+        self._cut(at)
+        return True
 
     def _body(self) -> None:
         if self.in_head:
@@ -290,49 +305,79 @@ class Flow:
         self.gap = int(spaced)
 
 
-def table_lines(rows: list[list[tuple[list[str], int, int]]], caption: list[str]) -> list[str]:
-    """Rows of (lines, columns spanned, rows spanned) as lines with padded columns, two blanks apart."""
-    grid: list[dict[int, tuple[list[str], int]]] = []
+Cells = dict[int, tuple[list[str], int]]
+
+
+def place_cells(rows: list[list[tuple[list[str], int, int]]]) -> list[Cells]:
+    """For each row its cells (lines, columns spanned) by their first column, around cells that reach down from above."""
+    grid: list[Cells] = []
     taken: dict[int, int] = {}
     for row in rows:
-        placed: dict[int, tuple[list[str], int]] = {}
+        placed: Cells = {}
         at = 0
         below = {c: n - 1 for c, n in taken.items() if n > 1}
         for lines, wide, high in row:
             while at in taken:
                 at += 1
             placed[at] = (lines, wide)
-            for c in range(at, at + wide):
-                if high > 1:
-                    below[c] = high - 1
+            if high > 1:
+                below.update((c, high - 1) for c in range(at, at + wide))
             at += wide
         taken = below
         grid.append(placed)
+    return grid
+
+
+def column_starts(grid: list[Cells], most: int) -> dict[int, int]:
+    """Where each column that a cell begins in starts, columns being as wide as their widest cell of up to `most`."""
     width: dict[int, int] = {}
+    size = lambda lines: max((n for n in map(len, lines) if n <= most), default=0)
     for row in grid:
         for c, (lines, wide) in row.items():
             if wide == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+                width[c] = max(width.get(c, 0), size(lines))
+    used = sorted({c for row in grid for c in row})
+    needs: dict[tuple[int, int], int] = {}
     for row in grid:
         for c, (lines, wide) in row.items():
             if wide > 1:
-                spare = max(map(len, lines), default=0) - sum(width.get(k, 0) for k in range(c, c + wide)) - 2 * (wide - 1)
-                if spare > 0:
-                    width[c + wide - 1] = width.get(c + wide - 1, 0) + spare
+                needs[c, wide] = max(needs.get((c, wide), 0), size(lines))
+    for (c, wide), need in sorted(needs.items()):
+        inside = used[bisect_left(used, c) : bisect_left(used, c + wide)]
+        spare = need - sum(width.get(k, 0) for k in inside) - 2 * (len(inside) - 1)
+        if spare > 0:
+            width[inside[-1]] = width.get(inside[-1], 0) + spare
     starts, total = {}, 0
-    for c in range(max(width, default=-1) + 1):
+    for c in used:
         starts[c] = total
         total += width.get(c, 0) + 2
-    out = list(caption)
-    for row in grid:
-        for k in range(max((len(lines) for lines, _ in row.values()), default=0)):
-            line = ""
-            for c in sorted(row):
-                cell = row[c][0]
-                if k < len(cell) and cell[k]:
-                    line = line.ljust(starts.get(c, total)) + cell[k]
-            out.append(line.rstrip())
-    return out
+    return starts
+
+
+def _row_lines(row: Cells, starts: dict[int, int], aligned: bool) -> Iterator[list[tuple[int, str]]]:
+    """For each line of a row its cells' texts with the blanks ahead of them."""
+    cells = [(c, row[c][0]) for c in sorted(row)]
+    for k in range(max((len(lines) for _, lines in cells), default=0)):
+        out, end = [], 0
+        for c, lines in cells:
+            if k < len(lines) and lines[k]:
+                gap = max(starts[c] - end if aligned else 0, 2 if end else 0)
+                out.append((gap, lines[k]))
+                end += gap + len(lines[k])
+        yield out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]], caption: list[str]) -> list[str]:
+    """Rows of (lines, columns spanned, rows spanned) as lines with padded columns, two blanks apart. All text is
+    shown; cells too wide to widen their column push what follows them in their own line."""
+    grid = place_cells(rows)
+    text = sum(len(x) for row in grid for lines, _ in row.values() for x in lines)
+    for most in ALIGN:
+        starts = column_starts(grid, most) if most else {}
+        length = sum(gap + len(x) for row in grid for line in _row_lines(row, starts, most > 0) for gap, x in line)
+        if not most or length <= PAD_TIMES * text + PAD_CHARS:
+            break
+    return caption + ["".join(" " * gap + x for gap, x in line) for row in grid for line in _row_lines(row, starts, most > 0)]
 
 
 def render(page: str | None) -> str:
@@ -350,6 +395,8 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
     # Entries: (node, entering). An inline element writes into the flow of the block it stands in.
     stack: list = [(root, True)]
     captions: dict[int, list[str]] = {}
+    holders: list[Flow] = []  # the open rows and tables
+    items_open = tables_open = 0
     while stack:
         node, entering = stack.pop()
         flow = flows[-1]
@@ -386,6 +433,10 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
                         tables += 1
                     if tag in LISTS and tag == "ol":
                         flow.marks = node.number("start", 1, 10**9) - 1
+                    if tag in ("tr", "table"):
+                        holders.append(flow)
+                        tables_open += tag == "table"
+                    items_open += tag == "li"
                     flows.append(flow)
             stack.append((node, False))
             children = node.children
@@ -402,18 +453,22 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
             continue
         flow.end_line()
         flows.pop()
+        items_open -= tag == "li"
+        if tag in ("tr", "table"):
+            holders.pop()
+            tables_open -= tag == "table"
         lines, outer = flow.lines, flows[-1]
         if flow.pre and tag in ("pre", "listing", "xmp"):
             while lines and not lines[-1].strip():
                 lines.pop()
         if tag in CELLS:
-            row = next((f for f in reversed(flows) if f.node.tag in ("tr", "table")), None)
+            row = holders[-1] if holders else None
             if row is not None and row.node.tag == "tr":
                 row.rows = row.rows or []
                 row.rows.append((lines, max(1, node.number("colspan", 1, 1000)), max(1, node.number("rowspan", 1, 65534))))
                 continue
         elif tag == "tr":
-            table = next((f for f in reversed(flows) if f.rows is not None and f.node.tag == "table"), None)
+            table = next((f for f in reversed(holders) if f.node.tag == "table"), None) if tables_open else None
             if table is not None:
                 if lines:  # text between cells is shown ahead of them
                     table.rows.append([(lines, 1, 1)])
@@ -421,7 +476,7 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
                 continue
             lines = lines + (table_lines([flow.rows], []) if flow.rows else [])  # a row outside a table stands for itself
         elif tag == "caption":
-            table = next((f for f in reversed(flows) if f.node.tag == "table"), None)
+            table = next((f for f in reversed(holders) if f.node.tag == "table"), None) if tables_open else None
             if table is not None:
                 captions[id(table)] = lines
                 continue
@@ -435,7 +490,7 @@ def render_counted(page: str | None) -> tuple[str, int, int]:
             lines = [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(lines or [""])]
         elif tag == "dd" or tag == "blockquote":
             lines = ["    " + x if x else x for x in lines]
-        spaced = tag in SPACED and not (tag in LISTS and any(f.node.tag == "li" for f in flows))
+        spaced = tag in SPACED and not (tag in LISTS and items_open)
         outer.block(lines, spaced)
     top = flows[0]
     top.end_line()
@@ -456,20 +511,33 @@ def _options(node: Node) -> list[Node]:
     return out
 
 
+OUTPUTS = {"text": "string", "n_chars": "long", "n_lines": "long", "n_tables": "long", "n_items": "long"}
+
+
 def render_pages(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages without the column, with text, n_chars, n_lines, n_tables and n_items appended."""
-    kept = [c for c in pages.columns if c not in (column, "text", "n_chars", "n_lines", "n_tables", "n_items")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in kept)
+    """pages without the column, with text, n_chars, n_lines, n_tables and n_items appended. A column of pages with
+    one of these names stays too, under the name with `_in` behind it, as often as it takes to be a new one."""
+    kept = [c for c in pages.columns if c != column]
+    names = [c for c in kept if c not in OUTPUTS]
+    renames = {}
+    for c in kept:
+        if c in OUTPUTS:
+            renames[c] = c + "_in"
+            while renames[c] in names:
+                renames[c] += "_in"
+            names.append(renames[c])
+    names = [renames.get(c, c) for c in kept]
+    renamed = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.col(f"`{column}`").alias("html_"))
+    schema = T.StructType([*renamed.schema.fields[:-1], *[T.StructField(n, T.StringType() if t == "string" else T.LongType()) for n, t in OUTPUTS.items()]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [render_counted(x) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            arrays += [pa.array([x for x, *_ in found], pa.string()), pa.array([len(x) for x, *_ in found], pa.int64())]
-            arrays += [pa.array([x.count("\n") + 1 if x else 0 for x, *_ in found], pa.int64())]
-            arrays += [pa.array([n for _, n, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "text", "n_chars", "n_lines", "n_tables", "n_items"])
-
-    return pages.select(*kept, column).mapInArrow(run, (schema + ", " if schema else "") + "text string, n_chars long, n_lines long, n_tables long, n_items long")
+            found = [render_counted(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts, tables, items = zip(*found) if found else ((), (), ())
+            arrays = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            arrays += [pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64()), pa.array(tables, pa.int64()), pa.array(items, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *OUTPUTS])
+
+    return renamed.mapInArrow(run, schema)
