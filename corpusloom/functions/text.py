@@ -72,9 +72,11 @@ def words(text: Column) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    """The n-grams of an array as arrays; none if it is shorter."""
-    none = F.array().cast("array<array<string>>")
-    return let(items, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))).otherwise(none))
+    """The n-grams of an array of words, each joined by blanks, which words do not hold; none if it is shorter.
+    Strings, since distinct arrays are told apart by comparing each with all others."""
+    none = F.array().cast("array<string>")
+    gram = lambda w: lambda i: F.array_join(F.slice(w, i, n), " ")
+    return let(items, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), gram(w))).otherwise(none))
 
 
 def _unique(items: Column, n: int) -> Column:

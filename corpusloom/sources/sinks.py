@@ -32,20 +32,26 @@ def write_jsonl_budget(rows: DataFrame, path: str, order: list[str], amount: Col
 
 
 def publish(rows: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False) -> None:
-    """All or nothing: written beside the destination, then renamed onto it."""
+    """All or nothing: written beside the destination, then renamed onto it. A table that is replaced is set aside
+    first and removed last, so that a failure in between leaves it whole, under its name or beside it."""
     spark = rows.sparkSession
     fs, target = _fs(spark, path)
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    stage, aside = (_fs(spark, f"{path}.{kind}-{mark}")[1] for kind in ("stage", "aside"))
     try:
-        rows.write.format(fmt).save(stage)
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(_fs(spark, stage)[1], target):
+        rows.write.format(fmt).save(stage.toString())
+        replaced = fs.exists(target)
+        if replaced and not fs.rename(target, aside):
+            raise OSError(f"could not set {path} aside")
+        if not fs.rename(stage, target):
+            if replaced:
+                fs.rename(aside, target)
             raise OSError(f"could not publish {path}")
+        fs.delete(aside, True)
     finally:
-        fs.delete(_fs(spark, stage)[1], True)
+        fs.delete(stage, True)
 
 
 def ordered_shards(shards: list[tuple[str, DataFrame]], order: str) -> DataFrame:
