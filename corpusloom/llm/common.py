@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,22 @@ def split_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple[obje
     return dealt.join(spread, [key, "_part"], how).drop("_part")
 
 
+_held: dict[object, object] = {}
+
+
+def worker_state(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks: the state of one operator, that of the last one is let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def forget_state() -> None:
+    """Let the state of an operator before this one go."""
+    _held.clear()
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for a file scan the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 UNKNOWN = "und"
 #: Symbols of labelled text for each language's automaton, and the most symbols of one labelled text.
 SAMPLE_SYMBOLS = 40_000
@@ -129,7 +131,8 @@ class Parser:
             to = suffix_automaton(text, self.size)
             to[:, RARE] = 0
             # A row's place instead of its number saves the product in each step; a miss restarts at the symbol.
-            self.automata.append((to.astype(np.int64) * self.size).astype(np.int32).ravel())
+            to *= self.size
+            self.automata.append(to.ravel())
             self.bits.append(math.log2(max(2, len(text))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,16 +194,10 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(chars: str, samples: dict[str, list[str]]) -> Parser:
     """The parser of these samples, built once in each worker."""
     key = hashlib.sha256(repr((chars, sorted(samples.items()))).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(chars, samples)
-    return _parsers[key]
+    return worker_state(("parser", key), lambda: Parser(chars, samples))
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> tuple[str, dict[str, list[str]]]:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, id_back, materialize, release, split_join, text_rows, written_ids
+from .common import forget_state, hot_keys, id_back, materialize, release, split_join, text_rows, written_ids
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
@@ -172,6 +172,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        forget_state()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             sets = shingle_sets(list(batch["text"]))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_back, materialize, partitions_for, shared_path, text_rows
+from .common import drop_path, id_back, materialize, partitions_for, shared_path, text_rows, worker_state
 from .hashing import GOLDEN, equal_spans, loads, mix64, padded_loads, runs, span_hashes
 
 #: Expected, least and most ids of a chunk.
@@ -90,9 +90,9 @@ class WordEncoder:
     def _forget(self) -> None:
         self.slots = np.zeros(1 << 17, np.uint64)
         self.entry = np.zeros(1 << 17, np.int32)
-        self.offset = np.zeros(1, np.int64)  # entry k holds pool[offset[k] : offset[k + 1]]
+        self.offset = np.zeros(1, np.int32)  # entry k holds pool[offset[k] : offset[k + 1]]
         self.pool = np.zeros(0, self.kind)
-        self.spelt = np.zeros(1, np.int64)  # and is spelt letters[spelt[k] : spelt[k + 1]]; eight zeros close the letters
+        self.spelt = np.zeros(1, np.int32)  # and is spelt letters[spelt[k] : spelt[k + 1]]; eight zeros close the letters
         self.letters = np.zeros(8, np.uint8)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -145,7 +145,7 @@ class WordEncoder:
         if 2 * (known + len(hashes)) > len(self.slots):
             old = self.slots != 0
             kept, entries = self.slots[old], self.entry[old]
-            size = 1 << (4 * (known + len(hashes))).bit_length()
+            size = 1 << (2 * (known + len(hashes))).bit_length()
             self.slots, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._enter(kept, entries)
         self._enter(hashes, self._keep(data, start, end))
@@ -174,9 +174,9 @@ class WordEncoder:
         own = self.library(single)
         at = np.concatenate([*order, *apart])
         known, width = len(self.offset) - 1, (end - start)[at]
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.concatenate([*sizes, [len(x) for x in own]]).astype(np.int64))])
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.concatenate([*sizes, [len(x) for x in own]]).astype(np.int32), dtype=np.int32)])
         self.pool = np.concatenate([self.pool, *pools, *own])
-        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum(width)])
+        self.spelt = np.concatenate([self.spelt, self.spelt[-1] + np.cumsum(width, dtype=np.int32)])
         self.letters = np.concatenate([self.letters[:-8], _gather(data, start[at], width), np.zeros(8, np.uint8)])
         entries = np.empty(len(at), np.int32)
         entries[at] = np.arange(known, known + len(at), dtype=np.int32)
@@ -234,9 +234,9 @@ class WordEncoder:
         return [apart[k] if k in apart else ids[total[a] : total[b]] for k, (a, b) in enumerate(zip(words, words[1:]))]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """The encoder of a tokenizer file, kept in its worker."""
+    return worker_state(("encoder", path), lambda: WordEncoder(path))
 
 
 def gear(size: int) -> np.ndarray:
