@@ -31,6 +31,21 @@ def frontier_weights(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("successes") > 0) & (F.col("successes") < F.col("k"))).withColumn("weight", F.round(F.greatest(F.lit(0.02), p * (1 - p)), 9))
 
 
+def refine(rows: DataFrame, previous: DataFrame) -> DataFrame:
+    """New samples of tasks on top of a previous profile's, by position: (position, task_id, k, successes,
+    initial_successes, first_success, entropy). Another task at a position is an error."""
+    old = previous.select("position", *[F.col(c).alias(f"old_{c}") for c in ("task_id", "k", "successes", "initial_successes", "first_success", "entropy")])
+    joined = rows.join(old, "position", "left")
+    known = F.col("old_task_id").isNotNull()
+    same = F.when(known & (F.col("old_task_id") != F.col("task_id")), F.raise_error(F.concat(F.lit("another task at position "), F.col("position").cast("string")))).otherwise(F.col("task_id"))
+    k = F.col("k") + F.coalesce("old_k", F.lit(0))
+    entropy = (F.col("entropy") * F.col("k") + F.coalesce(F.col("old_entropy") * F.col("old_k"), F.lit(0.0))) / k
+    return joined.select(
+        "position", same.alias("task_id"), k.alias("k"), (F.col("successes") + F.coalesce("old_successes", F.lit(0))).alias("successes"),
+        F.coalesce("old_initial_successes", "initial_successes").alias("initial_successes"), F.coalesce("old_first_success", "first_success").alias("first_success"), F.round(entropy, 9).alias("entropy"),
+    )
+
+
 def bridge_schemas(schemas: DataFrame, rows: DataFrame) -> DataFrame:
     """Schemas without any success, with their least difficulty, 0.20 where none was tried."""
     solved = rows.where("successes > 0").select("capability", "schema_id").distinct()

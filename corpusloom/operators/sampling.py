@@ -54,8 +54,8 @@ def stratified(rows: DataFrame, objective: str, difficulty: str, key: str, count
     # The n-th of every difficulty before the next of any; exhausted strata drop out of the turn.
     draw = draw.withColumn("_m", F.row_number().over(Window.partitionBy(objective).orderBy("_n", difficulty)))
     # A rank within its objective beyond the count is out of reach, so at most `count` rows an objective are ordered.
-    reach = draw.where(F.col("_m") <= count)
-    return row_index(reach, None, ["_m", objective], "turn").where(F.col("turn") < count).drop("_h", "_p", "_n", "_m")
+    reach = draw.where(F.col("_m") <= count).drop("_h", "_p", "_n")
+    return row_index(reach, None, ["_m", objective], "turn").where(F.col("turn") < count).drop("_m")
 
 
 def deck(rows: DataFrame, key: str, draws: int, seed: int) -> DataFrame:

@@ -293,7 +293,21 @@ def overlong_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.round(verifiers.overlong_penalty(F.col("event_id") % 120, 100, 40, 0.5), 9).alias("penalty"))
 
 
-@query()
+TYPED = """
+WITH x AS (
+  SELECT event_id, event_id % 4 AS kind, event_type AS t, event_id % 60 AS said, event_id % 50 AS want, event_id % 7 AS n, event_id % 5 AS m,
+         event_type IN ('click', 'view', 'error') AS listed FROM events)
+SELECT event_id,
+  CASE kind WHEN 0 THEN said = want WHEN 3 THEN n = m ELSE true END AS primary_success,
+  CASE WHEN CASE kind WHEN 0 THEN said = want WHEN 3 THEN n = m ELSE true END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS primary_score,
+  1.0::DOUBLE AS format_score,
+  CASE kind WHEN 0 THEN said::VARCHAR WHEN 1 THEN CASE WHEN listed THEN '["' || t || '"]' ELSE '[]' END WHEN 2 THEN 'abstain' ELSE '{"n": ' || n || '}' END AS parsed_answer,
+  CASE WHEN kind = 0 AND said <> want THEN 'number_wrong' WHEN kind = 3 AND n <> m THEN 'json_value' END AS failure_code
+FROM x
+"""
+
+
+@query(TYPED)
 def typed_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric, choice, abstention and JSON specs against made-up generations."""
     e = F.col("event_id")
@@ -306,8 +320,32 @@ def typed_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", verifiers.verify(spec, said).alias("v")).select("event_id", "v.*")
 
 
-@query()
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 9 = 7) THEN 'correct' WHEN event_id % 3 = 1 THEN 'manual_review' ELSE 'incorrect' END AS status, "
+    "CASE WHEN event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 9 = 7) THEN 'numeric_final_unique' WHEN event_id % 3 = 1 THEN 'numeric_final_ambiguous' ELSE 'numeric_final_missing' END AS reason FROM events"
+)
 def strict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     said = F.when(e % 3 == 0, F.concat(F.lit("Donc "), (e % 9).cast("string"))).when(e % 3 == 1, F.concat(F.lit("Réponse : "), (e % 9).cast("string"), F.lit(" ou 7"))).otherwise(F.lit("rien"))
     return events(spark, sf_dir).select("event_id", verifiers.score_strict(F.lit("num"), (e % 9).cast("string"), F.array(F.lit("")), said).alias("s")).select("event_id", "s.*")
+
+
+@query(
+    "SELECT event_id, round(CASE WHEN formed THEN 0.1 ELSE 0.0 END - penalty + CASE WHEN correct AND formed THEN 1.0 + 0.25 * greatest(0.0, 1.0 - n / 80) + CASE WHEN coherent THEN 0.15 ELSE 0.0 END ELSE 0.0 END, 9)::DOUBLE AS reward, "
+    "round(greatest(-0.25, least(1.05, score + CASE WHEN score = 1.0 THEN 0.03 * stopped + 0.02 ELSE 0.0 END - CASE WHEN stopped = 0 THEN 0.2 ELSE 0.0 END)), 9)::DOUBLE AS typed FROM "
+    "(SELECT event_id, event_id % 3 <> 0 AS formed, event_id % 2 = 0 AS correct, event_id % 120 AS n, (event_id % 5) / 10.0::DOUBLE AS penalty, event_id % 7 = 0 AS coherent, (event_id % 5) / 4.0::DOUBLE AS score, (event_id % 2) AS stopped FROM events)"
+)
+def reward_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rewards of made-up generations."""
+    e = F.col("event_id")
+    plain = verifiers.reward(e % 2 == 0, e % 3 != 0, e % 120, 80, (e % 5) / F.lit(10.0), e % 7 == 0)
+    score, stopped = (e % 5) / F.lit(4.0), e % 2 == 1
+    typed = verifiers.typed_reward(score, score == 1.0, stopped, F.concat(F.lit("Réponse : "), (e % 10).cast("string")), F.lit(1.0))
+    return events(spark, sf_dir).select("event_id", F.round(plain, 9).alias("reward"), F.round(typed, 9).alias("typed"))
+
+
+@query(f"SELECT task_id AS position, task_id, (CASE WHEN task_id % 2 = 0 THEN 2 * k ELSE k END)::BIGINT AS k, (CASE WHEN task_id % 2 = 0 THEN 2 * successes ELSE successes END)::BIGINT AS successes, initial_successes::BIGINT AS initial_successes, first_success::BIGINT AS first_success, round(entropy, 9) AS entropy FROM ({TASKS})")
+def profile_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile refined by the same samples again on every other task."""
+    own = tasks(spark, sf_dir).select(F.col("task_id").alias("position"), "task_id", *[F.col(c).cast("long").alias(c) for c in ("k", "successes", "initial_successes", "first_success")], "entropy")
+    return profiles.refine(own, own.where("task_id % 2 = 0"))
