@@ -76,6 +76,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """docs with every column but `own` under a number, so that no name of an operator meets one of theirs, and the
+    names: `back` gives the columns their own again."""
+    names = [c if c in own else f"_c{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def back(rows: DataFrame, names: list[str], docs: DataFrame) -> DataFrame:
+    """The columns of docs, which `aside` numbered, out of rows."""
+    return rows.select(*names).toDF(*docs.columns)
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the id as text: pandas turns whole numbers beside nulls into floats."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -12,18 +12,22 @@ splits where an anchor is hot.
 
 Defined results: a null or empty text has no words and no hit; a null item_id counts as the string "";
 repeated items and rows each count; an empty benchmark hits nothing; ties of anchors follow string order;
-other columns are not read.
+other columns are not read and come back as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written_ids
+from .common import aside, back, materialize, written_ids
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Measured bytes of the window set up to which it is sent to every executor.
 BROADCAST_BYTES = 64 << 20
@@ -57,7 +61,7 @@ def _by_anchor(set_of: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, hits) for each row of docs, hits being its verified occurrences
     struct(start, len, items), start counted in words from 0."""
-    found = windows(benchmark, size)
+    found = materialize(windows(benchmark, size), "windows")
     bound = found.agg(F.sum(F.length(F.array_join("window", " ")) + F.length(F.array_join("items", ",")) + 40).alias("bytes"), F.count_distinct("anchor").alias("anchors")).first()
     small = (bound["bytes"] or 0) <= BROADCAST_BYTES
     entries = _by_anchor(found)
@@ -83,21 +87,25 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     kept = F.transform(true, lambda e: F.struct((F.col("i") - e["offset"]).alias("start"), e["len"].alias("len"), e["items"].alias("items")))
     verified = joined.select("doc_id", "row", "n_words", kept.alias("h"))
     gathered = verified.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list(F.when(F.size("h") > 0, F.col("h"))).alias("h"))
-    return gathered.select("doc_id", "n_words", F.array_distinct(F.flatten("h")).alias("hits"))
+    # A window stands at one place of its anchor, and windows are distinct: no occurrence comes twice.
+    return gathered.select("doc_id", "n_words", F.flatten("h").alias("hits"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where `use` names it for each element of something."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def spans(hits: Column) -> Column:
-    """The disjoint runs of hit words, struct(s, e) with e exclusive, of occurrences."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("s"), (h["start"] + h["len"]).alias("e"))))
-    empty = F.array().cast("array<struct<s:int,e:int>>")
+    """The disjoint runs of hit words, struct(s, e) with e exclusive, of occurrences; runs that touch are one."""
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))))
 
-    def grow(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        apart = (F.size(done) == 0) | (x["s"] > F.try_element_at(done, F.lit(-1))["e"])
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(apart, F.concat(done, F.array(x))).otherwise(merged)
+    def runs(p: Column) -> Column:
+        first = F.filter(p, lambda x, i: F.coalesce(F.get(p, i - 1) != x - 1, F.lit(True)))
+        last = F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1) != x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
 
-    return F.aggregate(F.array_distinct(ordered), empty, grow)
+    return _bound(places, runs)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -113,39 +121,34 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, size: int = WINDOW) -> DataFrame:
-    """docs without the rows whose share of hit words is above `share` (0: any hit)."""
+    """docs without the rows whose share of hit words is above `share` (0: any hit); rows with one doc_id go together."""
     hit = report(docs, benchmark, size).where("contaminated").where(F.col("n_hit") > F.col("n_words") * F.lit(share))
     marked = written_ids(hit.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    rows, names = aside(docs, "doc_id", "text")
+    return back(rows.join(marked, rows["doc_id"].eqNullSafe(F.col("_id")), "left_anti"), names, docs)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with the hit words, and what stands between two words of one run, cut from the text.
 
-    Pieces are the words and the gaps between them in order; a text without hits is returned as it is."""
-    runs = occurrences(docs, benchmark, size).where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), spans(F.col("hits")).alias("_runs"))
-    runs = runs.groupBy("_id").agg(F.first("_runs").alias("_runs"))
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]), "left").drop("_id")
-    gaps = F.split(F.translate(F.col("text"), UPPER, LOWER), WORD, -1)
-    # Lengths suffice to cut the original text, whose case is kept.
-    found = words(F.col("text"))
-    ends = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), F.concat(found, F.array(F.lit(""))).alias("w")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("b"), (a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("e")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    places = joined.withColumn("_at", F.when(F.col("_runs").isNotNull(), ends))
-    cut = F.aggregate(
-        F.transform("_runs", lambda r: F.struct(F.element_at("_at", r["s"] + 1)["b"].alias("b"), F.element_at("_at", r["e"])["e"].alias("e"))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, r: F.struct(r["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, r["b"] - a["at"])).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
-    return places.withColumn("text", F.when(F.col("_runs").isNotNull(), cut).otherwise(F.col("text"))).select(*[docs[c] if c != "text" else F.col("text") for c in docs.columns])
+    Pieces are the gaps and the words in turn, from the gap before the first word to the one after the last; the text
+    is put together from those outside the runs. A text without hits is returned as it is."""
+    rows, names = aside(docs, "doc_id", "text")
+    text = F.struct("doc_id", F.sha2("text", 256).alias("digest"))
+    found = occurrences(rows.select(text.alias("doc_id"), "text"), benchmark, size).where(F.size("hits") > 0)
+    runs = found.select(F.col("doc_id").alias("_key"), spans(F.col("hits")).alias("_runs")).groupBy("_key").agg(F.first("_runs").alias("_runs"))
+    joined = rows.join(runs, text.eqNullSafe(F.col("_key")), "left")
+    gaps, own = F.split("text", ANY_WORD, -1), F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
+    pieces = F.flatten(F.zip_with(gaps, own, lambda g, w: F.array(g, F.coalesce(w, F.lit("")))))
+
+    def outside(p: Column) -> Column:
+        # Word i is piece 2 i + 1 from 0; what stays begins behind a run's last word and ends before the next one's first.
+        starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: 2 * r["e"]))
+        ends = F.concat(F.transform("_runs", lambda r: 2 * r["s"] + 1), F.array(F.size(p)))
+        return F.array_join(F.zip_with(starts, ends, lambda b, e: F.array_join(F.slice(p, b + 1, F.greatest(e - b, F.lit(0))), "")), "")
+
+    cut = F.when(F.col("_runs").isNotNull(), _bound(pieces, outside)).otherwise(F.col("text"))
+    return back(joined.withColumn("text", cut), names, docs)
 
 
 ORACLE = r"""

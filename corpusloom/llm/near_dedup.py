@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_state, hot_keys, id_back, materialize, release, split_join, text_rows, written_ids
+from .common import aside, back, forget_state, hot_keys, id_back, materialize, release, split_join, text_rows, written_ids
 from .hashing import GOLDEN, mix64, runs, span_hashes
 
 SHINGLE = 5
@@ -392,5 +392,6 @@ def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     together, but equal rows stay once. The join is with the ids that go, the smaller side."""
     found = near_duplicates(docs, threshold).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("representative").alias("stays"))
     going = written_ids(found.where("not stays").select("_id"), "duplicates")
-    joined = docs.join(going, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    rows, names = aside(docs, "doc_id", "text")
+    joined = back(rows.join(going, rows["doc_id"].eqNullSafe(F.col("_id")), "left_anti"), names, docs)
     return joined if _ids_once(docs) else joined.dropDuplicates(["doc_id", "text"])

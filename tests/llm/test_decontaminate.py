@@ -93,3 +93,18 @@ def test_defined_cases(spark, nasty, none, planted):
     assert D.report(none, items).count() == 0
     assert not any(r["contaminated"] for r in D.report(nasty, items.limit(0)).collect())
     assert D.remove_documents(nasty, items).columns == nasty.columns == D.remove_spans(nasty, items).columns
+    odd = nasty.selectExpr("*", "'i' as _id", "'k' as _key", "'r' as _runs", "n_chars as `a.b`")
+    for out in (D.remove_documents(odd, items), D.remove_spans(odd, items)):
+        assert out.columns == odd.columns and {(r["_id"], r["_key"], r["_runs"], r["n"]) for r in out.collect()} == {("i", "k", "r", "clash")}
+
+
+def test_a_long_document_of_benchmark_words_alone(spark):
+    """40 000 words that are all hit, in runs that a free word parts: linear in time, and each run is cut."""
+    item = prose(77, 40)
+    text = " libre ".join([item] * 1000)
+    docs = spark.createDataFrame([(1, text), (1, "libre " + item), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = sorted(rows_of(D.report(docs, items)))
+    assert [r[2] for r in rows if r[0] == "1"] in ([40, 40_000], [40_000, 40])
+    cut = sorted((r["doc_id"], r["text"] or "") for r in D.remove_spans(docs, items).collect())
+    assert cut == sorted([(1, " libre " * 999), (1, "libre "), (2, "")])
