@@ -3,9 +3,9 @@
 A linear softmax classifier over hashed words, fitted on a bounded sample of labelled rows, gives every
 document posteriors over domains. Document rates r >= 0 then minimise the squared distance between the
 expected domain token totals, sum of r x tokens x posterior, and the targets, by projected gradient: each
-round is one distributed pass that returns the K totals and the K x K Gram matrix of the documents with
-positive rate (which scales the step), and no rate is ever stored between rounds, since a document's rate
-follows from its posteriors and the K numbers of each earlier round.
+pass over the documents returns the K totals and the K x K Gram matrix of those with positive rate, and no
+rate is ever stored between passes, since a document's rate follows from its posteriors and the K numbers of
+each step.
 
 Bounded fit: SAMPLE_ROWS labelled rows by a hash of their key, whole texts, FEATURES hashed features.
 
@@ -17,7 +17,9 @@ all there is the one domain `all`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,9 @@ SAMPLE_ROWS = 4000
 #: Longest labelled text of the sample, in characters: longer rows are not learnt from.
 SAMPLE_CHARS = 20_000
 EPOCHS, RATE, PENALTY = 60, 0.5, 1e-4
-ROUNDS, TOLERANCE, LEAST_GAIN = 30, 1e-6, 1e-3
+#: Passes of the rate fit at most, the share of all tokens that a residual may be (`Fit` says what is left), and the
+#: inverse length of a step in units of the plain one.
+ROUNDS, TOLERANCE, PROXIMITY = 40, 1e-6, 1e-7
 
 #: Domains of the label table and the shares of the tokens that the mixture is to have.
 TARGETS = {"quality1-toxic0": 0.88, "quality0-toxic0": 0.06, "quality1-toxic1": 0.05, "quality0-toxic1": 0.01}
@@ -126,55 +130,84 @@ def rate_column(steps: list[list[float]], k: int) -> Column:
     return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
-    """(steps, expected domain totals, wanted totals) for members (tokens, posterior).
+class Fit(NamedTuple):
+    """Steps that give the rates, expected and wanted domain totals, and how far the rates are from a least-squares
+    solution, in tokens: the length of the projected gradient in the metric of the plain step."""
+
+    steps: list[list[float]]
+    totals: list[float]
+    wanted: list[float]
+    residual: float
 
-    `targets` are shares of the `total` tokens; without a total it is the one that takes the tokens of the
-    domain with the largest share once on average, and the others as often as the shares then ask."""
 
-    def measure(*trials: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(domain totals, Gram matrix of the documents with positive rate) after each trial's steps, in one pass."""
-        p = [F.element_at("posterior", i + 1) for i in range(k)]
+def optimise(members: DataFrame, targets: list[float] | None, k: int, total: float | None = None) -> Fit:
+    """Nonnegative rates of members (tokens, posterior) whose domain totals are nearest to the targets.
+
+    `targets` are shares of the `total` tokens; without a total it is the one that takes the tokens of the
+    domain with the largest share once on average, and the others as often as the shares then ask.
+
+    Steps are projected-gradient steps of a great length in their implicit form, r' = max(0, r - p . s) with
+    s = (totals of r' - targets) / (PROXIMITY x L), L being the largest eigenvalue of the Gram matrix. The K numbers s
+    are the minimum of a convex function, which damped Newton rounds find: a round is one pass that returns value, totals
+    and Gram matrix at four lengths. After a step the plain one, of length 1 / L, is measured: the rates are optimal
+    where it moves none of them, wherever the targets are."""
+    p = [F.element_at("posterior", i + 1) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(trials: list[list[list[float]]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(half the squared rates by tokens, domain totals, Gram matrix of the documents with positive rate) of each."""
         rates = members.select("tokens", "posterior", *[rate_column(steps, k).alias(f"r{n}") for n, steps in enumerate(trials)])
         t, columns = F.col("tokens").cast("double"), []
         for n in range(len(trials)):
             r = F.col(f"r{n}")
-            columns += [F.coalesce(F.sum(t * r * p[i]), F.lit(0.0)).alias(f"s{n}_{i}") for i in range(k)]
-            columns += [F.coalesce(F.sum(F.when(r > 0, t * p[i] * p[j])), F.lit(0.0)).alias(f"g{n}_{i}_{j}") for i in range(k) for j in range(i, k)]
-        found = rates.agg(*columns).first()
-        out = []
-        for n in range(len(trials)):
-            g = np.array([[found[f"g{n}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            out.append((np.array([found[f"s{n}_{i}"] for i in range(k)]), g))
-        return out
+            columns += [F.sum(t * r * r).alias(f"v{n}"), *[F.sum(t * r * p[i]).alias(f"s{n}_{i}") for i in range(k)]]
+            columns += [F.sum(F.when(r > 0, t * p[i] * p[j])).alias(f"g{n}_{i}_{j}") for i, j in pairs]
+        found = {x: y or 0.0 for x, y in rates.agg(*columns).first().asDict().items()}
+        gram = lambda n: np.array([[found[f"g{n}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        return [(found[f"v{n}"] / 2, np.array([found[f"s{n}_{i}"] for i in range(k)]), gram(n)) for n in range(len(trials))]
+
+    def moved(before: list[list[float]], after: list[list[float]]) -> float:
+        change = rate_column(before, k) - rate_column(after, k)
+        return float(members.select(change.alias("d"), "tokens").agg(F.sum(F.col("tokens") * F.col("d") * F.col("d"))).first()[0] or 0.0)
 
     steps: list[list[float]] = []
-    ((mass, gram),) = measure(steps)
+    ((value, mass, gram),) = measure([steps])
     share = np.array(targets if targets is not None else [1.0] * k, float)
     share = np.where(mass > 0, np.maximum(share, 0), 0)
     if not share.sum() or not mass.sum():
-        return [], mass.tolist(), mass.tolist()
+        return Fit([], mass.tolist(), mass.tolist(), 0.0)
     share /= share.sum()
     size = total if total is not None else float(mass[share.argmax()] / share.max())
-    wanted = share * size
-    scale = mass.sum()
-    error = mass - wanted
-    for _ in range(ROUNDS):
-        before = np.linalg.norm(error)
-        if before <= TOLERANCE * scale:
-            break
-        step = np.linalg.lstsq(gram + 1e-9 * scale * np.eye(k), error, rcond=None)[0]
-        # The whole step and shorter ones, for where the projection bends too much of it; the best one counts.
-        trials = [[*steps, (step * part).tolist()] for part in (1.0, 0.5, 0.25, 0.0625)]
-        found = measure(*trials)
-        best = min(range(len(trials)), key=lambda n: np.linalg.norm(found[n][0] - wanted))
-        after = np.linalg.norm(found[best][0] - wanted)
-        if after >= before:
-            break
-        steps, gram, error = trials[best], found[best][1], found[best][0] - wanted
-        if after > (1 - LEAST_GAIN) * before:  # the targets are out of reach, and this is as near as it gets
+    wanted, totals = share * size, mass
+    steepest, tolerance = float(np.linalg.eigvalsh(gram)[-1]), TOLERANCE * mass.sum()
+    near, residual, passes = PROXIMITY * steepest, float(np.linalg.norm(totals - wanted)), 0
+    while residual > tolerance and passes < ROUNDS:
+        s = np.zeros(k)
+        while passes < ROUNDS:
+            slope = wanted + near * s - totals
+            if np.linalg.norm(slope) <= tolerance / 10:
+                break
+            way = np.linalg.solve(gram + near * np.eye(k), slope)
+            tried = [s - part * way for part in (1.0, 0.5, 0.25, 0.0625)]
+            found = measure([[*steps, x.tolist()] for x in tried])
+            passes += 1
+            values = [v + float(wanted @ x) + near / 2 * float(x @ x) for (v, _, _), x in zip(found, tried)]
+            best = int(np.argmin(values))
+            if values[best] >= value + float(wanted @ s) + near / 2 * float(s @ s):
+                break  # as near as sums of doubles tell
+            s, (value, totals, gram) = tried[best], found[best]
+        if not s.any():
             break
-    return steps, (error + wanted).tolist(), wanted.tolist()
+        steps = [*steps, s.tolist()]
+        error = totals - wanted
+        residual = min(float(np.linalg.norm(error)), math.sqrt(steepest * moved(steps, [*steps, (error / steepest).tolist()])))
+        passes += 1
+    return Fit(steps, totals.tolist(), wanted.tolist(), residual)
+
+
+def fit_rates(members: DataFrame, targets: list[float] | None, k: int, total: float | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+    """(steps, expected domain totals, wanted totals) of `optimise`."""
+    return optimise(members, targets, k, total)[:3]
 
 
 def domain_label() -> Column:
@@ -183,18 +216,23 @@ def domain_label() -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, keep: bool = False) -> DataFrame:
-    """Every row of docs (its doc_id, or with `keep` all its columns) with tokens, domain, posterior and rate."""
+    """Every row of docs (its doc_id, or with `keep` all its columns) with tokens, domain, posterior and rate; without
+    `keep` also its domain's wanted and attained tokens and the fit's residual, the same for all rows of a domain.
+    Ties of posteriors go to the domain first in order."""
     model = learn(docs, labels, domain_label())
     domains = model[0]
-    scored = posteriors(docs.select(*(docs.columns if keep else ["doc_id", "text"])), model)
+    scored = posteriors(docs.select(*([f"`{c}`" for c in docs.columns] if keep else ["doc_id", "text"])), model)
     members = materialize(scored.select("tokens", "posterior", *([] if keep else ["doc_id"])), "members")
     # Domains that the targets do not name are not wanted: they have weight 0.
     shares = [targets.get(d, 0.0) for d in domains] if any(d in targets for d in domains) else None
-    steps, _, _ = fit_rates(members, shares, len(domains), total)
+    fit = optimise(members, shares, len(domains), total)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    names = F.array(*[F.lit(d) for d in domains])
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), best)
     rated = scored if keep else members.select("doc_id", "tokens", "posterior")
-    return rated.withColumn("domain", F.element_at(names, best)).withColumn("rate", F.round(rate_column(steps, len(domains)), 6))
+    rated = rated.withColumn("domain", pick(domains)).withColumn("rate", F.round(rate_column(fit.steps, len(domains)), 6))
+    if keep:
+        return rated
+    return rated.withColumns({"wanted_tokens": F.round(pick(fit.wanted), 3), "attained_tokens": F.round(pick(fit.totals), 3), "residual": F.lit(round(fit.residual, 3))})
 
 
 def copies(rate: Column, key: str = "doc_id") -> Column:

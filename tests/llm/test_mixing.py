@@ -46,6 +46,40 @@ def test_unreachable_targets_come_as_near_as_least_squares(spark):
     assert abs(sum(totals) - sum(wanted)) < 1e-3 * sum(wanted)
 
 
+def plain_descent(tokens, p, wanted, rounds=200_000):
+    """Least-squares distance over nonnegative rates, by accelerated projected gradients in numpy."""
+    a = (p * tokens[:, None]).T / np.sqrt(tokens)
+    step, x = 1 / np.linalg.norm(a, 2) ** 2, np.sqrt(tokens)
+    y, t = x, 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, y - step * (a.T @ (a @ y - wanted)))
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y, x, t = new + (t - 1) / after * (new - x), new, after
+    return float(np.linalg.norm(a @ x - wanted))
+
+
+@pytest.mark.parametrize("case", ["nearly collinear", "out of reach", "one domain unwanted"])
+def test_rates_are_a_least_squares_solution(spark, case):
+    rng = np.random.default_rng(3)
+    n = 120
+    p = rng.dirichlet([0.5, 0.8, 0.4], n)
+    targets = [0.6, 0.3, 0.1]
+    if case == "nearly collinear":
+        p = 0.02 * p + 0.98 * np.array([0.5, 0.3, 0.2])
+        targets = [0.502, 0.299, 0.199]
+    if case == "out of reach":
+        p = 0.2 * p + 0.8 * np.array([0.4, 0.3, 0.3])
+        targets = [0.0, 0.05, 0.95]
+    if case == "one domain unwanted":
+        targets = [0.7, 0.3, 0.0]
+    tokens = rng.integers(1, 500, n)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, posterior array<double>").coalesce(1)
+    fit = M.optimise(members, targets, 3)
+    best = plain_descent(tokens.astype(float), p, np.array(fit.wanted), 20_000)
+    assert np.linalg.norm(np.array(fit.totals) - fit.wanted) <= best + 1e-3 * sum(fit.wanted)
+    assert fit.residual <= 1e-3 * tokens.sum()
+
+
 def test_copies_have_the_rate_as_their_mean(spark):
     n = M.copies(F.lit(1.3), "id")
     got = spark.range(20_000).select(n.alias("n")).agg(F.avg("n").alias("m"), F.min("n").alias("a"), F.max("n").alias("b")).first()
