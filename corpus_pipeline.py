@@ -1,4 +1,9 @@
-"""The training-data pipeline: language, near-duplicates, benchmark leaks, domain mixture, token store."""
+"""The training-data pipeline: language, near-duplicates, benchmark leaks, domain mixture, token store.
+
+Defined results: documents without a letter go in the first stage; documents with a null doc_id stay, and one without
+an id is a class of its own or goes with its copies; rows that share a doc_id stay or go together, equal rows stay once;
+further columns come through unchanged, whatever their names; an empty corpus gives an empty store.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, language, mixing, near_dedup, token_store
 from corpusloom.llm.catalog import tokenizer_path
-from corpusloom.llm.common import ensure_session, materialize, table
+from corpusloom.llm.common import aside, back, ensure_session, materialize, table
 
 #: Shares of the tokens that the mixture is to have; domains are those of the label table.
 MIXTURE = {"quality1-toxic0": 0.86, "quality0-toxic0": 0.08, "quality1-toxic1": 0.05, "quality0-toxic1": 0.01}
@@ -17,8 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with an identified language; a missing lang becomes the identified one."""
     ensure_session(spark)
     model = language.learn(docs.where(~language.held_out_column()))
-    found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    rows, names = aside(docs, "doc_id", "text", "lang")
+    found = language.identify(rows, model).where(F.col("lang_pred") != language.UNKNOWN)
+    return back(found.withColumn("lang", F.coalesce("lang", "lang_pred")), names, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say."""
-    rated = mixing.mixed(docs, table(spark, sf_dir, "labels"), MIXTURE, keep=True)
-    return mixing.apply_rates(rated, docs.columns)
+    rows, names = aside(docs, "doc_id", "text")
+    rated = mixing.mixed(rows, table(spark, sf_dir, "labels"), MIXTURE, keep=True)
+    return back(mixing.apply_rates(rated, names), names, docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
