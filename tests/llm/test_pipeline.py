@@ -69,3 +69,21 @@ def test_an_empty_corpus(spark, tmp_path):
     for _, stage in P.STAGES:
         frame = stage(spark, frame, folder)
         assert frame.count() == 0
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path, nasty):
+    """Each stage on nulls, ties, repeated rows and columns with the operators' own names, which come through as they are."""
+    folder = str(tmp_path)
+    corpus(folder, spark)
+    frame = nasty.selectExpr("*", "'i' as _id", "'m' as _n", "'c' as _c", "'h' as h", "'k' as key1")
+    texts = {(r["doc_id"], r["text"]) for r in frame.collect()}
+    for name, stage in P.STAGES[:-1]:
+        frame = P.materialize(stage(spark, frame, folder), f"test-{name}")
+        assert frame.columns[:5] == nasty.columns[:5] and frame.columns[-5:] == ["_id", "_n", "_c", "h", "key1"], name
+        rows = frame.collect()
+        assert rows and {(r["doc_id"], r["text"]) for r in rows} <= texts, name
+        assert {(r["_id"], r["_n"], r["_c"], r["h"], r["score"], r["tokens"], r["rate"], r["lang_pred"]) for r in rows} == {("i", "m", "c", "h", "clash", "clash", "clash", "clash")}, name
+        if name != "language":
+            assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows) or name == "mixing"
+    out = P.STAGES[-1][1](spark, frame, folder).collect()
+    assert len(out) == frame.count() and all(r["verified"] for r in out)
