@@ -40,7 +40,7 @@ MATCH = 50
 K = 20
 BLOCK_BYTES = 4 << 20
 #: Windows whose anchors are found at once; the arrays of a step stay in a processor's cache.
-STEP = 1 << 16
+STEP = 1 << 15
 #: Bytes of compressed blocks for each partition of anchors.
 PART_BYTES = 11 << 18
 #: Bytes of compressed blocks for each task that reads them, and parts for each task that judges them.
@@ -51,6 +51,8 @@ COLLECTION_BYTES = 1 << 20
 #: Entries of a collection's order up to which its columns stay in memory, and those read of a file at once.
 MEMORY_ENTRIES = 1 << 18
 CHUNK = 1 << 18
+#: Bytes at a window's head that must stand in another window too, or the window matches none and stays out of the order.
+PROBE = 40
 #: Distinct pieces of an anchor that a block's level stands for; an anchor of more pieces in all is hot.
 LEVELS = (1, 15, 255, 4095)
 HOT_PIECES = 1 << 16
@@ -103,24 +105,26 @@ def pieces_of(data: np.ndarray, sizes: np.ndarray, match: int = MATCH, k: int =
     ends = np.cumsum(sizes)
     n = len(data) - match + 1
     step = STEP
+    # Where a document's windows begin and end; behind each end stand windows that reach into the next document.
+    edges = np.unique(np.concatenate([ends - sizes, np.maximum(ends - sizes, ends - match + 1)]))
     for first in range(0, max(0, n), step):
         # Neighbouring steps may cut a piece in two; each window still lies in one piece.
         last = min(n, first + step)
         value = window_anchors(data[first : last + match - 1], match, k)
-        at = np.arange(first, last, dtype=np.int64)
-        owner = np.searchsorted(ends, at, side="right")
-        inside = at + match <= ends[owner]
-        place = (value & np.uint64(63)).astype(np.int64)
-        key = value >> np.uint64(6)
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | ~inside[:-1]
-        fresh &= inside
+        fresh = np.zeros(last - first, bool)
+        fresh[0] = True
+        np.not_equal(value[1:], value[:-1], out=fresh[1:])
+        low, high = np.searchsorted(edges, [first, last])
+        fresh[edges[low:high] - first] = True
         head = np.flatnonzero(fresh)
-        group = np.cumsum(fresh)[inside] - 1
-        starts.append(at[head])
-        keys.append(key[head])
-        owners.append(owner[head])
-        counts.append(np.bincount(group, minlength=len(head)).astype(np.int64))
+        windows = np.diff(np.append(head, last - first))
+        owner = np.searchsorted(ends, head + first, side="right")
+        inside = head + first + match <= ends[owner]
+        head = head[inside]
+        starts.append(head + first)
+        keys.append(value[head] >> np.uint64(6))
+        owners.append(owner[inside])
+        counts.append(windows[inside])
     if not starts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none
@@ -450,20 +454,77 @@ def _least_of_runs(order: ColumnOrder, match: int, rows: np.ndarray, size: np.nd
         open_least = int(least[-1])
 
 
+def _heads_shared(data: np.ndarray, at: np.ndarray, probe: int) -> np.ndarray:
+    """For each place in data whether its next `probe` bytes may stand at another of the places too, by a hash of them."""
+    with np.errstate(over="ignore"):
+        reach, value = 8, mix64(loads(data))
+        while 2 * reach <= probe:
+            value[:-reach] = mix64(value[:-reach] * GOLDEN ^ value[reach:])
+            reach *= 2
+        value = mix64(value[at] * GOLDEN ^ value[at + probe - reach])
+    order = np.argsort(value)
+    again = value[order[1:]] == value[order[:-1]]
+    out = np.zeros(len(at), bool)
+    out[order[1:]] = again
+    out[order[:-1]] |= again
+    return out
+
+
+def trimmed(grid: np.ndarray, match: int = MATCH, probe: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of the part of each piece that can match another one: from the first to the
+    last window whose head of `probe` bytes stands in another window too. The windows before and behind match none."""
+    windows = grid[:, -1].astype(np.int64)
+    size = windows + match - 1
+    data = grid[:, :-1][np.arange(grid.shape[1] - 1) < size[:, None]]
+    spread = np.repeat(np.arange(len(windows)), windows)
+    inside = np.arange(len(spread)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hit = np.flatnonzero(_heads_shared(data, (np.cumsum(size) - size)[spread] + inside, probe))
+    piece = spread[hit]
+    edge = np.append(True, piece[1:] != piece[:-1]) if len(hit) else np.zeros(0, bool)
+    first, count = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+    first[piece[edge]] = inside[hit[edge]]
+    last = hit[np.append(edge[1:], True)] if len(hit) else hit
+    count[piece[edge]] = inside[last] + 1 - inside[hit[edge]]
+    return first, count
+
+
 def least_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match: int = MATCH, folder: str | None = None) -> np.ndarray:
     """For distinct piece records: the least owner of each of their windows, piece by piece.
 
+    An anchor with one distinct piece is a collection of one document: its windows are the piece's own. The other
+    pieces are trimmed to the windows that can match another piece's, and the distinct records of these are ordered."""
+    windows = grid[:, -1].astype(np.int64)
+    base = np.cumsum(windows) - windows
+    out = np.repeat(owners, windows)
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(count[number] > 1)
+    if not len(rows):
+        return out
+    first, count = trimmed(grid[rows], match)
+    rows, first, count = rows[count > 0], first[count > 0], count[count > 0]
+    width = grid.shape[1] - 1
+    part = piece_bytes(grid[rows, :-1].ravel(), np.arange(len(rows)) * width + first, count, match, 2 * match - width)
+    kept, which = distinct(np.concatenate([part, np.ascontiguousarray(keys[rows]).view(np.uint8).reshape(len(rows), 8)], axis=1))
+    least = np.full(len(kept), LAST)
+    np.minimum.at(least, which, owners[rows])
+    found = ordered_owners(part[kept], keys[rows][kept], least, match, folder)
+    own = np.cumsum(count[kept]) - count[kept]
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out[np.repeat(base[rows] + first, count) + inside] = found[np.repeat(own[which], count) + inside]
+    return out
+
+
+def ordered_owners(grid: np.ndarray, keys: np.ndarray, owners: np.ndarray, match: int = MATCH, folder: str | None = None) -> np.ndarray:
+    """least_owners by the column-wise order of the records.
+
     Records are taken in order of their anchors, in collections that never part an anchor; the columns of one
-    with more than MEMORY_ENTRIES entries are files in `folder`. An anchor with one distinct piece is a collection
-    of one document: its windows are the piece's own."""
+    with more than MEMORY_ENTRIES entries are files in `folder`."""
     windows = grid[:, -1].astype(np.int64)
     base = np.cumsum(windows) - windows
-    out = np.empty(int(windows.sum()), np.int64)
+    out = np.repeat(owners, windows)
     _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-    alone = count[number] == 1
-    out[:] = np.repeat(owners, windows)
     order = np.argsort(keys, kind="stable")
-    order = order[~alone[order]]
+    order = order[count[number[order]] > 1]
     sizes = windows[order] + match - 1
     turn = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, np.int64)
     heads = [0]
@@ -632,7 +693,7 @@ def _shared_pieces(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, bits: di
     and of the distinct pieces, dealt to parts: (first place, part numbers, bounds). Those of hot anchors are cut
     into their windows. Pieces are found equal by a hash, and compared byte by byte."""
     start, windows, key, owner = pieces_of(raw, sizes)
-    keys, number, _ = _anchor_sets(key, owner)
+    keys, number = np.unique(key, return_inverse=True)
     order, part, bound = _by_part(keys, parts)
     state = np.zeros(len(keys), np.uint8)
     for p, a, b in zip(part.tolist(), bound.tolist(), bound[1:].tolist()):
@@ -705,11 +766,11 @@ def judge_pieces(sent: DataFrame, parts: int) -> DataFrame:
 
 
 def _removed(raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, start: np.ndarray, windows: np.ndarray, which: np.ndarray, least: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """For each byte of a block whether it goes; pieces are taken STEP / 4 at a time."""
+    """For each byte of a block whether it goes; pieces are taken STEP / 2 at a time."""
     change = np.zeros(len(raw) + 1, np.int32)
     ends = np.cumsum(sizes)
-    for low in range(0, len(start), STEP // 4):
-        part = slice(low, low + STEP // 4)
+    for low in range(0, len(start), STEP // 2):
+        part = slice(low, low + STEP // 2)
         count = windows[part]
         spread = np.repeat(np.arange(len(count)), count)
         inside = np.arange(len(spread)) - (np.cumsum(count) - count)[spread]

@@ -174,3 +174,22 @@ def test_windows_of_hot_anchors_give_the_same_result(spark):
 def test_long_documents_and_kept_bytes(nasty):
     rows = {r["doc_id"]: r for r in S.remove_repeats(nasty.where("doc_id in (6, 7)"), texts=True).collect()}
     assert rows[6]["n_removed"] == 0 and rows[7]["n_removed"] == rows[7]["n_bytes"] and rows[7]["n_spans"] == 1 and bytes(rows[7]["kept"]) == b""
+
+
+def test_only_windows_that_can_match_enter_the_order(monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    anchor, passage = text(20), text(60)
+    pieces = [text(30) + anchor + text(30) for _ in range(200)]  # one anchor, no window in common
+    pieces += [text(10) + passage + text(10), text(20) + passage, passage[5:] + text(10)]  # eleven and six windows in common
+    grid = S.piece_bytes(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces[:-1])]), np.array([len(x) - 49 for x in pieces]))
+    owners = np.arange(len(pieces))[::-1].copy()
+    first = {}
+    for x, o in zip(pieces, owners.tolist()):
+        for i in range(len(x) - 49):
+            first[x[i : i + 50]] = min(first.get(x[i : i + 50], o), o)
+    entered, real = [], S.ColumnOrder
+    monkeypatch.setattr(S, "ColumnOrder", lambda data, sizes, *rest: entered.append(len(data)) or real(data, sizes, *rest))
+    got = S.least_owners(grid, np.zeros(len(pieces), np.uint64), owners)
+    assert got.tolist() == [first[x[i : i + 50]] for x in pieces for i in range(len(x) - 49)]
+    assert 0 < sum(entered) <= 3 * 80  # of 16 225 bytes
