@@ -38,7 +38,7 @@ from .hashing import GOLDEN, equal_spans, loads, mix64, span_hashes
 
 MATCH = 50
 K = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Windows whose anchors are found at once; the arrays of a step stay in a processor's cache.
 STEP = 1 << 15
 #: Bytes of compressed blocks for each partition of anchors.
@@ -62,12 +62,16 @@ KEY_BYTES = 5
 BLOCK_SCHEMA = "block long, ids array<string>, sizes array<int>, data binary"
 
 
+#: One of each for a worker's many small columns: making one takes as long as a column of some kB.
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return _PACKER.compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _UNPACKER.decompress(data)
 
 
 # Anchors and pieces of a block
